@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship, table  # noqa: F401
+
 #: Rows and bytes that Spark hands to a Python worker at once; a longer text comes alone.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bytes of text that a kernel works on at once; a longer text is one such part.
@@ -17,15 +19,13 @@ PART_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker's memory does not depend on the length of the texts."""
+    """Small Arrow batches, so that a worker's memory does not depend on the length of the texts; the package
+    goes to the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a folder of our own only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)

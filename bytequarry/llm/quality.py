@@ -26,7 +26,7 @@ from .words import SPACED, Words, mix, per_row, prefix_sums, range_hash, window_
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WORDS = 10, 20, 5
 #: Per mille of word characters, lines or words, and hundredths of a character: what a group's fence is widened by.
-SLACK = {"symbols_pm": 20, "dup_lines_pm": 200, "repeat_pm": 60, "upper_pm": 100, "marks_pm": 40, "word_length": 300}
+SLACK = {"symbols_pm": 20, "dup_lines_pm": 400, "repeat_pm": 160, "upper_pm": 100, "marks_pm": 40, "word_length": 300}
 FENCE, MIN_GROUP = 3, 50
 
 _SYMBOL = np.zeros(256, bool)
@@ -162,8 +162,20 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     The measures (a few numbers a document) go through the shared folder, so that texts are scanned once."""
     carried = list(dict.fromkeys([lang, source, *(keep or [])]))
     measured = materialize(ratios(measure(docs, doc_id, text, carried)), "measures")
+    return _judged(measured, materialize(thresholds(measured, f"__keep_{lang}", f"__keep_{source}"), "thresholds"), lang, source)
+
+
+def filtered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The documents that are kept, with all their columns. Texts are scanned twice, and never shuffled: once for
+    the thresholds, and once next to them (a row for each language and source)."""
+    first = ratios(measure(docs, doc_id, text, list(dict.fromkeys([lang, source]))))
+    limits = materialize(thresholds(materialize(first, "measures"), f"__keep_{lang}", f"__keep_{source}"), "thresholds")
+    judged = _judged(ratios(measure(docs, doc_id, text, docs.columns)), limits, lang, source)
+    return judged.filter("kept").select(*(F.col(f"`__keep_{c}`").alias(c) for c in docs.columns))
+
+
+def _judged(measured: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    limits = materialize(thresholds(measured, f"__keep_{lang}", f"__keep_{source}"), "thresholds")
     on = F.col(f"__keep_{lang}").eqNullSafe(F.col("g_lang")) & F.col(f"__keep_{source}").eqNullSafe(F.col("g_source"))
     judged = measured.join(limits, on, "left")
     passes = F.lit(True)

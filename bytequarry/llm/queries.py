@@ -6,13 +6,17 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, pfor, pii, quality
+from . import decontaminate, htmltext, licenses, linededup, nearduplicates, packing, pfor, pii, quality, suffixdedup
 from .base import table
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearduplicates.report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -29,6 +33,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -37,5 +45,13 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", drops_space=True, lowers=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_decontaminate, op4_pack, op5_licenses, op7_pii, op8_token_ids)}
-ORACLES: dict[str, str] = {}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_quality_rules, op3_decontaminate, op4_pack, op5_licenses, op6_suffix_dedup, op7_pii, op8_token_ids, op9_line_dedup, op10_html_text)}
+ORACLES: dict[str, str] = {"op9_line_dedup": linededup.ORACLE}
