@@ -11,7 +11,7 @@ Copies of one window meet only in partial aggregates and in joins with one row p
 
 Defined results: null text stays null and has no lines; empty text has one empty line; a text whose lines all go
 becomes empty; of equal rows the first (in scan order) keeps its lines; an empty table gives an empty result. Extra
-columns pass through, unless they begin with two underscores and bear a name used here.
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,18 +67,20 @@ def deleted_lines(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
     """docs with the lines gone and `n_chars` counted again; with `counts` also __n_lines and __n_removed."""
-    rows = with_row_id(docs)
-    joined = rows.join(deleted_lines(rows, doc_id, text, min_chars), F.col("__rid") == F.col("__rid2"), "left")
-    joined = joined.withColumn("__lines", _lines(F.col(text).cast("string")))
+    rows = with_row_id(docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")))
+    joined = rows.join(deleted_lines(rows, "__id", "__text", min_chars), F.col("__rid") == F.col("__rid2"), "left")
+    joined = joined.withColumn("__lines", _lines(F.col("__text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     joined = joined.withColumn("__n_lines", F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("bigint"))
     joined = joined.withColumn("__n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint"))
     # __lines also serves __n_lines, so the optimizer does not move the split into the function below
     cut = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
-    joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cut))
-    if n_chars in docs.columns:
-        joined = joined.withColumn(n_chars, F.when(F.col("__gone").isNull(), F.col(n_chars)).otherwise(F.length(F.col(text)).cast(dict(docs.dtypes)[n_chars])))
-    return joined.select(*docs.columns, *(["__n_lines", "__n_removed"] if counts else []))
+    joined = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(cut))
+    columns = {c: F.col(f"__row.`{c}`") for c in docs.columns}
+    columns[text] = F.col("__text")
+    if n_chars in columns:
+        columns[n_chars] = F.when(F.col("__gone").isNull(), columns[n_chars]).otherwise(F.length("__text").cast(dict(docs.dtypes)[n_chars]))
+    return joined.select(*(v.alias(c) for c, v in columns.items()), *(["__n_lines", "__n_removed"] if counts else []))
 
 
 def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

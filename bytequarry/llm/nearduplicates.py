@@ -225,6 +225,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class, the first by id."""
-    rows = with_row_id(docs)
-    drop = classes(rows.select("__rid", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).filter(~F.col("first")).select(F.col("__rid").alias("__drop"))
-    return rows.join(materialize(drop, "dropped"), F.col("__rid") == F.col("__drop"), "left_anti").select(*docs.columns)
+    rows = with_row_id(docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__body"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")))
+    drop = classes(rows.select("__rid", F.col("__doc").alias("doc_id"), F.col("__body").alias("text"))).filter(~F.col("first")).select(F.col("__rid").alias("__drop"))
+    left = rows.join(materialize(drop, "dropped"), F.col("__rid") == F.col("__drop"), "left_anti")
+    return left.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

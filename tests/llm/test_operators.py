@@ -1,0 +1,578 @@
+"""Each operator against a brute-force version, and on odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import edge
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from bytequarry.llm import base, decontaminate, graph, htmltext, licenses, linededup, nearduplicates, packing, pfor, pii, quality, queries, suffixdedup, tokens, words
+from bytequarry.llm.dom import Page, features
+
+BYTE, WORD = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/word_bpe_49k.json"
+ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def word_list(text):
+    return ALNUM.findall((text or "").encode().translate(LOWER))
+
+
+@pytest.fixture(scope="module")
+def corpus(sf_dir):
+    return duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{sf_dir}/documents.parquet' ORDER BY 1").fetchall()
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# --- words ---------------------------------------------------------------------------------------------------------
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é.1\n\0", max_size=30)), max_size=8))
+def test_words(texts):
+    buf, offs = base.text_buffer(pa.array(texts, pa.string()))
+    w = words.Words(buf, offs, words.ALNUM, words.ALNUM_MAP)
+    low = words.ALNUM_MAP[buf].tobytes()
+    got = [[low[a:b] for a, b in zip(w.starts[x:y], w.ends[x:y])] for x, y in zip(w.doc[:-1], w.doc[1:])]
+    assert got == [word_list(t) for t in texts]
+    flat = [x for t in got for x in t]
+    assert [int(h) for h in w.hash] == [words.text_hash(x) for x in flat]
+    valid = words.window_valid(w.counts, len(w.hash), 3)
+    assert valid.sum() == sum(max(0, len(t) - 2) for t in got)
+
+
+# --- 1 -------------------------------------------------------------------------------------------------------------
+def shingles(text):
+    w = word_list(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_against_all_pairs(spark, sf_dir, corpus):
+    got = by_id(queries.op1_near_duplicates(spark, sf_dir))
+    sets = {d: shingles(t) for d, t, *_ in corpus}
+    ids = sorted(sets)
+    parent = {d: d for d in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            k = len(sets[a] & sets[b])
+            if k and k >= 0.8 * (len(sets[a]) + len(sets[b]) - k):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {d: r.class_id for d, r in got.items()} == {d: root(d) for d in ids}
+    assert {d for d, r in got.items() if r.first} == {root(d) for d in ids}
+
+
+def test_near_duplicate_family_in_one_class(spark):
+    r = random.Random(1)
+    base_words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    docs = [(0, " ".join(base_words))]
+    for k in range(1, 60):  # copies are near the first, and mostly not near each other
+        w = list(base_words)
+        for i in range(5, 200, 100):
+            w[(i + 3 * k) % 200] = f"x{k}"
+            w[(i + 3 * k + 1) % 200] = f"y{k}"
+        docs.append((k, " ".join(w)))
+    docs += [(100 + k, " ".join(f"u{r.randrange(10**6)}" for _ in range(200))) for k in range(20)]
+    got = by_id(nearduplicates.report(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert {got[k].class_id for k in range(60)} == {0}
+    assert all(got[100 + k].class_id == 100 + k for k in range(20))
+
+
+def test_near_duplicates_odd(spark):
+    rows = nearduplicates.report(edge.table(spark)).collect()
+    assert len(rows) == len(edge.rows())
+    one = [r for r in rows if r.doc_id in (1, 2)]
+    assert {r.class_id for r in one} == {1} and sum(r.first for r in one) == 1
+    assert [r.class_id for r in rows if r.doc_id == 3] == [3]
+    assert sum(r.first for r in rows if r.doc_id == 4) == 1
+    assert nearduplicates.report(edge.empty(spark)).count() == 0
+    kept = nearduplicates.dedup(edge.table(spark))
+    assert kept.columns == edge.table(spark).columns and kept.count() == len({(r.class_id, r.doc_id is None) for r in rows})
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    label = {v: v for e in edges for v in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {v: got.get(v, v) for v in label} == label
+
+
+# --- 2 -------------------------------------------------------------------------------------------------------------
+def measured(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    hit = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_measures(spark, sf_dir, corpus):
+    got = by_id(queries.op2_quality_rules(spark, sf_dir))
+    assert len(got) == len(corpus)
+    for d, t, *_ in corpus:
+        r, m = got[d], measured(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m
+        assert r.base_failed == (m[0] < 10 or 100 * m[4] > 20 * m[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_against_labels(spark, sf_dir):
+    labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf_dir}/labels.parquet'").fetchall())
+    got = by_id(queries.op2_quality_rules(spark, sf_dir))
+    good = [got[d].kept for d, q in labels.items() if q == 1 and not got[d].base_failed]
+    bad = [got[d].kept for d, q in labels.items() if q == 0]
+    assert sum(good) >= 0.97 * len(good)
+    assert sum(bad) <= 0.1 * len(bad)
+
+
+def test_sketches_merge_and_bound(spark):
+    r = random.Random(5)
+    rows = [(i, "en", f"s{i % 3}", *(r.randrange(0, 5000) for _ in quality.SLACK)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id int, l string, s string, " + ", ".join(f"{m} bigint" for m in quality.SLACK))
+    limits = quality.thresholds(df, "l", "s").collect()
+    for k, m in enumerate(quality.SLACK):
+        for x in limits:
+            v = sorted(row[3 + k] for row in rows if row[2] == x.g_source)
+            q25, q75 = v[(len(v) * 25 + 99) // 100 - 1], v[(len(v) * 75 + 99) // 100 - 1]
+            want = q75 + 3 * (q75 - q25) + quality.SLACK[m]
+            assert abs(x.fences[m] - want) <= 0.07 * (4 * q75 + 3 * q25) + 4
+
+
+def test_quality_odd(spark):
+    out = quality.judge(edge.table(spark)).collect()
+    assert len(out) == len(edge.rows())
+    for r in out:
+        if r.doc_id in (3, 4, 8, 9):
+            assert r.base_failed and not r.kept
+    assert quality.judge(edge.empty(spark)).count() == 0
+    kept = quality.filtered(edge.table(spark))
+    assert kept.columns == edge.table(spark).columns
+    assert {r.doc_id for r in kept.collect()} >= {1, 2}
+
+
+# --- 3 -------------------------------------------------------------------------------------------------------------
+def decontaminated(text, items, window=10):
+    w = word_list(text)
+    hit, found = set(), set()
+    places = {}
+    for i, t in items:
+        v = word_list(t)
+        size = min(window, len(v))
+        for k in range(len(v) - size + 1 if v else 0):
+            places.setdefault(tuple(v[k : k + size]), set()).add(i)
+    for size in {len(p) for p in places}:
+        for k in range(len(w) - size + 1):
+            p = tuple(w[k : k + size])
+            if p in places:
+                hit.update(range(k, k + size))
+                found |= places[p]
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 300])
+def test_decontamination(spark, sf_dir, corpus, block):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    got = by_id(decontaminate.report(docs, bench, block_words=block))
+    hits = 0
+    for d, t, *_ in corpus:
+        r = got[d]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == decontaminated(t, items)
+        assert r.contaminated == (r.n_hit > 0)
+        hits += r.contaminated
+    assert hits
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=8), max_size=5), st.lists(st.sampled_from("abcd"), max_size=30))
+def test_automaton(items, text):
+    auto = decontaminate.Automaton([[w.encode() for w in i] for i in items], 4)
+    hit, found = set(), set()
+    for i, m, ks in auto.stream([w.encode() for w in text]):
+        hit.update(range(i - m + 1, i + 1))
+        found.update(ks)
+    want, owners = set(), set()
+    for k, item in enumerate(items):
+        size = min(4, len(item))
+        for a in range(len(item) - size + 1 if item else 0):
+            for b in range(len(text) - size + 1):
+                if text[b : b + size] == item[a : a + size]:
+                    want.update(range(b, b + size))
+                    owners.add(k)
+    assert (hit, found) == (want, owners)
+
+
+def test_decontamination_odd(spark):
+    bench = spark.createDataFrame([(1, edge.PLAIN[:120]), (2, "short"), (3, None), (4, "")], "item_id bigint, text string")
+    out = decontaminate.report(edge.table(spark), bench).collect()
+    assert len(out) == len(edge.rows())
+    assert {r.doc_id for r in out if r.contaminated} == {1, 2, 5, 8}
+    assert not any(r.contaminated for r in decontaminate.report(edge.table(spark), bench.limit(0)).collect())
+    assert decontaminate.report(edge.empty(spark), bench).count() == 0
+    cut = decontaminate.decontaminate(edge.table(spark), bench)
+    assert cut.columns == edge.table(spark).columns
+    for r in cut.collect():
+        assert r.text is None or edge.PLAIN[:100] not in r.text
+        assert r.text is None or r.n_chars == len(r.text)
+    assert 8 not in {r.doc_id for r in cut.collect()}
+
+
+# --- 4 -------------------------------------------------------------------------------------------------------------
+def encoded(path, text):
+    from tokenizers import Tokenizer
+
+    if path not in _cache:
+        _cache[path] = Tokenizer.from_file(path)
+        _cache[path].encode_special_tokens = True
+    return _cache[path].encode(text or "", add_special_tokens=False).ids + [1]
+
+
+_cache: dict = {}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def check_pieces(pieces, texts):
+    """texts: ids by document."""
+    by_doc, by_seq = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_seq.setdefault(p.sequence_id, []).append(p)
+    assert set(by_doc) == set(texts)
+    for d, ids in texts.items():
+        at = 0
+        for p in sorted(by_doc[d], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == crc(ids[at : at + p.length])
+            at += p.length
+        assert at == len(ids)
+    for ps in by_seq.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at and p.length > 0
+            at += p.length
+        assert at <= packing.WINDOW
+    return len(by_seq)
+
+
+def test_packing(spark, sf_dir, corpus):
+    texts = {d: encoded(BYTE, t) for d, t, *_ in corpus}
+    n = check_pieces(queries.op4_pack(spark, sf_dir).collect(), texts)
+    total = sum(map(len, texts.values()))
+    assert n * packing.WINDOW <= total * 1.03 + 2 * packing.WINDOW
+
+
+def test_packing_odd(spark):
+    rows = [(k, t) for k, (_, t, *_rest) in enumerate(edge.rows())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check_pieces(packing.pack(df, BYTE).collect(), {k: encoded(BYTE, t) for k, t in rows})
+    assert packing.pack(edge.empty(spark), BYTE).count() == 0
+    assert packing.pack(edge.table(spark), BYTE).filter("doc_id is null").count() == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 512), max_size=60))
+def test_differencing(sizes):
+    found = packing.divide(sizes, 2048)
+    assert sorted(i for s in found for i in s) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in s) <= 2048 for s in found)
+
+
+# --- tokens and 8 --------------------------------------------------------------------------------------------------
+TEXT = st.lists(st.sampled_from([*"aB'st  \n\té 1.,-!<|>ñß中", "\u0301", "\u00a0", "\u2003", "\r", "<|endoftext|>"]), max_size=40).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=5), st.booleans())
+def test_cached_pieces_encode_alike(texts, byte):
+    path = BYTE if byte else WORD
+    key = ("encoder", byte)
+    if key not in _cache:
+        _cache[key] = tokens.Encoder(path, not byte, not byte)
+    ids, offs = _cache[key].encode(*base.text_buffer(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [encoded(path, t) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700))
+def test_pfor_round_trip(ids):
+    image = pfor.Image(pfor.encode(np.array(ids, np.uint32)))
+    assert image.ids().tolist() == ids
+    for k in range(-(-len(ids) // pfor.BLOCK)):
+        assert image.block(k).tolist() == ids[k * pfor.BLOCK : (k + 1) * pfor.BLOCK]
+
+
+def test_pfor_is_small():
+    r = np.random.default_rng(1)
+    ids = r.integers(0, 900, 100_000).astype(np.uint32)
+    ids[::50] = 48_000
+    assert len(pfor.encode(ids)) < 100_000 * 12 / 8
+
+
+def test_token_files(spark, sf_dir, corpus):
+    got = by_id(queries.op8_token_ids(spark, sf_dir))
+    at = 0
+    for d, t, *_ in corpus:
+        ids = encoded(WORD, t)
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+
+
+def test_token_files_odd(spark, monkeypatch):
+    monkeypatch.setattr(pfor, "SEGMENT_IDS", 50)
+    rows = pfor.round_trip(edge.table(spark), WORD, True, True).collect()
+    assert len(rows) == len(edge.rows())
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda d: (d is not None, d))
+    assert pfor.round_trip(edge.empty(spark), WORD, True, True).count() == 0
+
+
+# --- 5 -------------------------------------------------------------------------------------------------------------
+def test_licenses(spark, sf_dir, corpus):
+    got = by_id(queries.op5_licenses(spark, sf_dir))
+    for d, t, *_ in corpus:
+        w = [x.decode("utf-8", "replace") for x in word_list(t)]
+        places, labels = [], set()
+        for phrase, label in licenses.BASE:
+            p = phrase.split()
+            here = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+            places += here
+            labels |= {label} if here else set()
+        r = got[d]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
+        assert r.base_labels == ",".join(sorted(labels)) and labels <= set(r.labels.split(",")) | {""}
+        assert 0 <= r.score <= 1
+
+
+def test_license_labels(spark):
+    rows = [(1, "Some words. Licensed under CC BY-NC 4.0. More."), (2, "x\nThis work is licensed under the GNU General Public License, version 3."), (3, "All rights reserved for the copyright holder: Copyright. All rights reserved."), (4, "the terms of the work under the version"), (5, "Licensed under the Apache License, Version 2.0."), (6, "Released under the MIT License.")]
+    rows += [(100 + k, f"plain words {k} of no licence") for k in range(50)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got[1].labels == "cc-by,cc-by-nc" and got[2].labels == "gpl,gpl-3.0" and "all-rights-reserved" in got[3].labels
+    assert got[5].labels == "apache,apache-2.0" and got[6].labels == "mit"
+    assert got[4].labels == "" and got[4].score == 0 and not any(got[100 + k].labels for k in range(50))
+
+
+def test_licenses_odd(spark):
+    assert licenses.scan(edge.table(spark)).count() == len(edge.rows())
+    assert licenses.scan(edge.empty(spark)).count() == 0
+
+
+# --- 6 -------------------------------------------------------------------------------------------------------------
+def removed(texts):
+    size = suffixdedup.LENGTH
+    raw = [(t or "").encode() for t in texts]
+    counts = Counter(t[i : i + size] for t in raw for i in range(len(t) - size + 1))
+    out = []
+    for t in raw:
+        mask = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - size + 1):
+            if counts[t[i : i + size]] > 1:
+                mask[i : i + size] = True
+        spans = int((mask[1:] > mask[:-1]).sum() + mask[0])
+        out.append((len(t), int(mask.sum()), spans, hashlib.sha256(bytes(b for b, m in zip(t, mask) if not m)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [suffixdedup.HOT, 2])
+def test_suffix_dedup(spark, sf_dir, corpus, hot, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    got = by_id(queries.op6_suffix_dedup(spark, sf_dir))
+    for (d, *_), want in zip(corpus, removed([t for _, t, *_ in corpus])):
+        assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=60), st.sampled_from([1, 5, 9, 30, 200]))
+def test_suffix_ranks(symbols, needed):
+    s = np.array(symbols, np.int64)
+    order = np.argsort(suffixdedup.suffix_ranks(s, 1, needed), kind="stable")
+    padded = symbols + [0] * needed
+    heads = [tuple(padded[i : i + needed]) for i in order]
+    assert heads == sorted(heads)
+
+
+def test_suffix_dedup_odd(spark):
+    rows = sorted(edge.rows(), key=lambda r: str(r))
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.dedup(edge.table(spark)).collect())
+    assert got == sorted(removed([r[1] for r in rows]))
+    assert suffixdedup.dedup(edge.empty(spark)).count() == 0
+
+
+# --- 7 -------------------------------------------------------------------------------------------------------------
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base_spans(text):
+    text = text or ""
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+
+    def fine(d):
+        d = d[::-1]
+        return 13 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+    return {
+        "email": [m.span() for m in EMAIL.finditer(text)],
+        "ip": [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in CARD.finditer(text) if fine(digits(m[0]))],
+        "phone": [m.span() for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15],
+    }
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet="a.@-+ (1230é", max_size=40), st.text(alphabet="12345.- ", max_size=60)))
+def test_pii_base(text):
+    if "auto" not in _cache:
+        _cache["auto"] = pii.anchors()
+    got = pii.find(text, _cache["auto"])
+    assert {k: got[k] for k in pii.BASE_KINDS} == base_spans(text)
+
+
+def test_pii_documents(spark, sf_dir, corpus):
+    got = by_id(queries.op7_pii(spark, sf_dir))
+    for d, t, *_ in corpus:
+        s, r = base_spans(t), got[d]
+        joined = ",".join(f"{k}:{a}:{b}" for k in pii.BASE_KINDS for a, b in s[k])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(s[k]) for k in pii.BASE_KINDS)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+def test_pii_added():
+    found = pii.find("IBAN: GB82 WEST 1234 5698 7654 32, ssn 123-45-6789, Account no. 12345678, ftp://joe:pw@host/", pii.anchors())
+    assert [len(found[k]) for k in ("iban", "ssn", "account", "login")] == [1, 1, 1, 1]
+    assert pii.redact("mail a@b.cd now", pii.find("mail a@b.cd now", pii.anchors())) == "mail [EMAIL] now"
+
+
+def test_pii_odd(spark):
+    assert pii.scan(edge.table(spark), redacted=True).count() == len(edge.rows())
+    assert pii.scan(edge.empty(spark)).count() == 0
+
+
+# --- 9 -------------------------------------------------------------------------------------------------------------
+def test_line_dedup_oracle(spark, duck, sf_dir):
+    from compare import same
+
+    same(queries.op9_line_dedup(spark, sf_dir), duck.sql(linededup.ORACLE))
+
+
+def test_line_dedup_odd(spark):
+    df = linededup.dedup(edge.table(spark))
+    assert df.columns == edge.table(spark).columns
+    got = df.collect()
+    assert len(got) == len(edge.rows())
+    one = sorted((r.text for r in got if r.doc_id == 1), key=len)
+    assert one == ["", edge.PLAIN]  # of equal rows one keeps its lines
+    assert next(r for r in got if r.doc_id == 3).text is None
+    five = next(r for r in got if r.doc_id == 5)
+    assert edge.PLAIN not in five.text and five.n_chars == len(five.text)
+    assert linededup.report(edge.empty(spark)).count() == 0
+
+
+def test_line_dedup_is_native(spark, sf_dir):
+    plan = queries.op9_line_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# --- 10 ------------------------------------------------------------------------------------------------------------
+def test_html_pages(spark, sf_dir):
+    import html
+
+    pages = duckdb.sql(f"SELECT page_id, html FROM '{sf_dir}/pages.parquet'").fetchall()
+    got = by_id(queries.op10_html_text(spark, sf_dir), "page_id")
+    for p, h in pages:
+        article = re.search(r"<article>(.*?)(?:</article>|$)", h, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", b))).split()) for b in re.split("</?(?:h1|p)>", article))
+        want = "\n\n".join(b for b in blocks if b)
+        assert got[p].text == want and got[p].n_chars == len(want)
+
+
+def test_html_held_out():
+    r, wrong = random.Random(77), 0
+    for _ in range(150):
+        page = Page(htmltext.generated(r).replace('data-k="0"', 'itemprop="kzero"').replace('data-k="1"', 'itemprop="kone"'))
+        dead = [False] * len(page.tags)
+        for i in range(1, len(page.tags)):
+            dead[i] = dead[page.parent[i]] or "kzero" in page.words[i]
+        want = "\n\n".join(t for n, t, _ in page.runs if "kone" in page.words[n] and not dead[n])
+        wrong += want != htmltext.main_text(page, htmltext.model().logit(features(page)))
+    assert wrong <= 6
+
+
+def test_decoding_has_no_contradiction():
+    r = np.random.default_rng(3)
+    page = Page(htmltext.generated(random.Random(9)))
+    for _ in range(20):
+        kept = htmltext.kept_nodes(page, r.normal(0, 3, len(page.tags)))
+        assert all(kept[page.parent[i]] for i in range(1, len(kept)) if kept[i])
+
+
+@pytest.mark.parametrize("source", [None, "", "plain words", "<p", "<p>a<p>b</div></p>", "<script>x", "<!-- never ended", "<a href='x>", "<div " * 50, "<ul><li>a<li>b</ul>&amp&#65;"])
+def test_html_odd(spark, source):
+    rows = htmltext.extract(spark.createDataFrame([(1, None, source, "x"), (1, None, source, "x")], "page_id bigint, url string, html string, text string")).collect()
+    assert len(rows) == 2 and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_html_empty(spark):
+    assert htmltext.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------
+def test_pipeline_stages(spark, sf_dir, corpus):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, seen = docs.columns, [docs.count()]
+    items = duckdb.sql(f"SELECT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
+    for name, stage in cp.STAGES[:-1]:
+        docs = base.materialize(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == columns, name
+        seen.append(docs.count())
+    assert seen == sorted(seen, reverse=True) and seen[-1] > 0.5 * seen[0]
+    rows = docs.collect()
+    assert all(len(r.text) == r.n_chars for r in rows)
+    assert not any(decontaminated(r.text, items)[1] for r in rows if len(word_list(r.text)) < 3000)
+    sets = [shingles(r.text) for r in rows]
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            k = len(a & b)
+            assert not k or k < 0.9 * (len(a) + len(b) - k)
+    pieces = cp.STAGES[-1][1](spark, docs, sf_dir).collect()
+    check_pieces(pieces, {r.doc_id: encoded(BYTE, r.text) for r in rows})
+    assert all(p.length == len(p.ids) and p.ids_crc32 == crc(p.ids) for p in pieces)
+
+
+def test_pipeline_odd(spark):
+    import corpus_pipeline as cp
+
+    for docs in (edge.table(spark).select("doc_id", "text", "lang", "source", "n_chars"), edge.empty(spark).select("doc_id", "text", "lang", "source", "n_chars")):
+        for name, stage in cp.STAGES:
+            docs = base.materialize(stage(spark, docs, "/root/testdata/sf0.001"), "test")
+        docs.count()
