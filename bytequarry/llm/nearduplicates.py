@@ -7,8 +7,9 @@ documents that agree in one are candidates. Two documents of similarity 0.8 shar
 0.8 ** ORDER, so all SKETCHES are missed once in some forty thousand pairs.
 
 Documents with equal words are one class from the start, and only its first goes on. In every bucket the members
-are compared with a centre, the one that meets most others in its own buckets; members that fail elect a centre
-among themselves in the next round. So a bucket of any size costs a row per member and round, and never its pairs.
+are compared with a centre, the one that meets most others in its own buckets; members that fail are compared with
+the next best in the next rounds, and at last with the best among themselves. So a bucket of any size costs a row
+per member and round, and never its pairs.
 A candidate is verified by banded alignment: the longest chain of equal labelled shingles that rises in both texts
 within a band that holds every pair of enough similarity; chain / (both lengths - chain) must be SIMILARITY or more.
 Links are joined to classes as connected components.
@@ -33,7 +34,7 @@ from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, prefix_sums, range_hash,
 
 SHINGLE, SIMILARITY = 5, 0.8
 ORDER, SKETCHES = 4, 20
-ROUNDS = 3
+ROUNDS = 6
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -192,11 +193,14 @@ def classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
     texts = rows.select("__rid", F.col(text).cast("string").alias("__text")).join(entries.select("a").distinct(), F.col("__rid") == F.col("a"), "left_semi")
     texts = materialize(texts, "candidates")
     entries = materialize(entries, "bucket-members")
-    links, tried, left = None, None, entries
-    for _ in range(rounds):
-        centre = left.groupBy("key").agg(F.max(F.struct("score", "a", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-        centre = centre.select(F.col("key").alias("k"), F.col("c.a").alias("b"), F.col("c.n").alias("nb"))
+    links, tried, centres, left = None, None, None, entries
+    for r in range(rounds):
+        # the next centre is the best member that was none yet; in the last rounds, the best that is left
+        pool = entries.join(centres, (F.col("key") == F.col("ck")) & (F.col("a") == F.col("cb")), "left_anti") if 0 < r < rounds - 2 else left
+        centre = pool.groupBy("key").agg(F.max(F.struct("score", "a", "n")).alias("c")).select(F.col("key").alias("k"), F.col("c.a").alias("b"), F.col("c.n").alias("nb"))
         against = materialize(left.join(centre, F.col("key") == F.col("k")).select("a", "b", "n", "nb", "key", "score"), "against")
+        led = against.select(F.col("key").alias("ck"), F.col("b").alias("cb")).distinct()
+        centres = led if centres is None else centres.union(led)
         pairs = against.filter((F.col("a") != F.col("b")) & (F.least("n", "nb") >= SIMILARITY * F.greatest("n", "nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         found = materialize(_verified(fresh, texts), "links")
