@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, licenses, linededup, nearduplicates, packing, pfor, pii, quality, suffixdedup
+from . import decontaminate, htmltext, licenses, linededup, nearduplicates, oracles, packing, pfor, pii, quality, suffixdedup
 from .base import table
 
 #: Folder of the public tokenizers' files.
@@ -54,4 +54,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_quality_rules, op3_decontaminate, op4_pack, op5_licenses, op6_suffix_dedup, op7_pii, op8_token_ids, op9_line_dedup, op10_html_text)}
-ORACLES: dict[str, str] = {"op9_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = oracles.ORACLES

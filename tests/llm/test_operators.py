@@ -477,10 +477,11 @@ def test_pii_odd(spark):
 
 
 # --- 9 -------------------------------------------------------------------------------------------------------------
-def test_line_dedup_oracle(spark, duck, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, duck, sf_dir, name):
     from compare import same
 
-    same(queries.op9_line_dedup(spark, sf_dir), duck.sql(linededup.ORACLE))
+    same(queries.QUERIES[name](spark, sf_dir), duck.sql(queries.ORACLES[name]))
 
 
 def test_line_dedup_odd(spark):
