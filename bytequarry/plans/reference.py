@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..config import ALGORITHMS, TARGETS
 from ..functions import bits, blobs
-from ..operators import codes, entropy, parse
+from ..operators import codes, entropy, forward, parse
 from ..session import table
 from ..sources import containers
 
@@ -595,3 +595,23 @@ def _merged(data: bytes) -> tuple:
 @query()
 def q_s8_t26_t32_executables(spark, sf_dir):
     return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _merged, "n_bytes bigint, n_read bigint, n_merged bigint, reloc_bytes bigint, same boolean")
+
+
+def _aligned(data: bytes) -> tuple:
+    tokens, stream = forward.aligned_parse(data), forward.aligned_encode(data)
+    return len(data), len(stream), sum(k == 1 for k, _ in tokens), sum(k > 1 for k, _ in tokens), forward.aligned_decode(stream) == data
+
+
+@query()
+def q_t13_t14_t31_aligned_format(spark, sf_dir):
+    return entropy.per_blob(_talk(spark, sf_dir), "blob", "text", _aligned, "n_bytes bigint, encoded_bytes bigint, n_literals bigint, n_matches bigint, trip boolean")
+
+
+def _bucketed(data: bytes) -> tuple:
+    tokens, stream = forward.deferred_parse(data), forward.bucket_encode(data)
+    return len(data), len(stream), sum(k == 1 for k, _ in tokens), sum(k > 1 for k, _ in tokens), forward.bucket_decode(stream) == data
+
+
+@query()
+def q_t15_k11_t31_bucketed_format(spark, sf_dir):
+    return entropy.per_blob(_talk(spark, sf_dir), "blob", "text", _bucketed, "n_bytes bigint, encoded_bytes bigint, n_literals bigint, n_matches bigint, trip boolean")

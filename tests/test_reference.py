@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bytequarry.config import BY_NAME
-from bytequarry.operators import entropy, parse
+from bytequarry.operators import entropy, forward, parse
 from bytequarry.plans import reference
 from bytequarry.sources import containers
 
@@ -112,3 +112,24 @@ def test_scaled_sums_to_m_on_skewed_counts(spark):
         assert row.scaled >= 1
         total[row.k] = total.get(row.k, 0) + row.scaled
     assert set(total.values()) == {32}
+
+
+@pytest.mark.parametrize("data", BLOBS + [b"abcab" * 90 + bytes(range(200)) + b"abcab"], ids=range(len(BLOBS) + 1))
+def test_forward_formats_adversarial(data):
+    assert forward.aligned_decode(forward.aligned_encode(data)) == data
+    assert forward.bucket_decode(forward.bucket_encode(data)) == data
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.binary(max_size=400).map(lambda b: bytes(x & 3 for x in b)), st.integers(1, 32))
+def test_forward_formats(data, reach):
+    tokens = forward.deferred_parse(data, reach)
+    assert sum(k for k, _ in tokens) == len(data)
+    assert forward.aligned_decode(forward.aligned_encode(data)) == data
+    assert forward.bucket_decode(forward.bucket_encode(data, reach)) == data
+
+
+def test_bucket_prefixes_are_free():
+    codes = forward.bucket_prefixes(list(range(16)))
+    assert sorted(map(len, codes)) == sorted([3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 8, 9, 9, 9, 9])
+    assert not any(a != b and b.startswith(a) for a in codes for b in codes)
