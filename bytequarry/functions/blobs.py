@@ -43,3 +43,34 @@ def equal_runs(byte_rows: DataFrame, distance: int) -> DataFrame:
     same = byte_rows.withColumn("e", F.col("b") == F.lag("b", distance).over(w)).filter("e")
     island = same.withColumn("island", F.col("pos") - F.row_number().over(w))
     return island.groupBy("blob_id", "island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length")).drop("island")
+
+
+#: Fixed values of the control sequences: colour letters (codes from 2), and the letters of codes from 14.
+COLOURS, MODES = "KRGYBMCW", "HNZ"
+
+
+def translate_controls(text: Column) -> Column:
+    """Control-A sequences of terminal art: returns go; a byte from 0x80 becomes that many spaces less 127; colour
+    letters and modes become codes; background digits go, with their mark."""
+    out = F.regexp_replace(text, "\r", "")
+    out = F.regexp_replace(out, "\x01[0-7]", "")
+    for k, c in enumerate(COLOURS):
+        out = F.replace(out, F.lit("\x01" + c), F.lit(chr(2 + k)))
+    for k, c in enumerate(MODES):
+        out = F.replace(out, F.lit("\x01" + c), F.lit(chr(14 + k)))
+    for k in range(1, 41):
+        out = F.replace(out, F.lit("\x01" + chr(127 + k)), F.lit(" " * k))
+    return out
+
+
+def stream_header(n: Column, ascii_mode: bool, reverse: bool, initial_offset: int) -> Column:
+    """Hex of the header: a byte with two flags and the initial offset, and the size in 24 bits."""
+    flags = ascii_mode << 7 | reverse << 6 | initial_offset
+    return F.concat(F.lit(f"{flags:02X}"), F.lpad(F.hex(n), 6, "0"))
+
+
+def hex_array(text: Column) -> Column:
+    """The bytes as 0x.. items, eight a line."""
+    items = F.regexp_replace(F.lower(F.hex(utf8(text))), "(..)", "0x$1,")
+    lines = F.regexp_replace(items, "((?:0x..,){8})", "$1\n")
+    return F.regexp_replace(lines, ",\n?$", "")

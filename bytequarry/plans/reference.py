@@ -615,3 +615,66 @@ def _bucketed(data: bytes) -> tuple:
 @query()
 def q_t15_k11_t31_bucketed_format(spark, sf_dir):
     return entropy.per_blob(_talk(spark, sf_dir), "blob", "text", _bucketed, "n_bytes bigint, encoded_bytes bigint, n_literals bigint, n_matches bigint, trip boolean")
+
+
+def _prefixed(data: bytes) -> tuple:
+    z = parse.prefix_matches(data)
+    return len(data), sum(v > 1 for v in z), max(z, default=0), sum(z)
+
+
+@query()
+def q_j4_prefix_matches(spark, sf_dir):
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _prefixed, "n_bytes bigint, n_matches bigint, longest bigint, total bigint")
+
+
+@query("SELECT doc_id, '84' || right('000000' || to_hex(octet_length(encode(text))), 6) AS header FROM documents WHERE text IS NOT NULL")
+def q_k2_stream_headers(spark, sf_dir):
+    return docs(spark, sf_dir).filter("text is not null").select("doc_id", blobs.stream_header(F.octet_length(blobs.utf8(F.col("text"))), True, False, 4).alias("header"))
+
+
+@query("""WITH h AS (SELECT item_id, regexp_extract_all(lower(hex(encode(text))), '..') AS l FROM benchmark)
+SELECT item_id, array_to_string([array_to_string(['0x' || x FOR x IN list_slice(l, 8 * k + 1, 8 * k + 8)], ',') FOR k IN range((len(l) + 7) // 8)], ',' || chr(10)) AS code FROM h""")
+def q_k12_hex_arrays(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", blobs.hex_array(F.col("text")).alias("code"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(2, least(l_quantity::INT * 8, 255)) AS good, greatest(1, least(l_partkey, 9999)) AS chain FROM lineitem")
+def q_p13_clamped_options(spark, sf_dir):
+    clamp = lambda v, lo, hi: F.greatest(F.lit(lo), F.least(v, F.lit(hi)))
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", clamp(F.col("l_quantity").cast("int") * 8, 2, 255).alias("good"), clamp(F.col("l_partkey"), 1, 9999).alias("chain"))
+
+
+@query("SELECT s_suppkey, kind FROM (SELECT s_suppkey, s_nationkey % 7 + 1000 AS kind FROM supplier) WHERE kind IN (1001, 1002, 1003)")
+def q_p10_supported_parts(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 7 + 1000).alias("kind"))
+    return s.filter(F.col("kind").isin(containers.CODE, containers.DATA, containers.ZEROS))
+
+
+_MARKED = "replace(replace(replace(replace(text, ' t', chr(1) || 'R'), ' a', chr(1) || '3'), ' o', chr(1) || 'N'), ' h', chr(1) || chr(130))"
+_UNMARKED = "replace(replace(replace(replace(text, ' t', chr(3)), ' a', ''), ' o', chr(15)), ' h', '   ')"
+
+
+@query(f"SELECT conv_id, turn, {_UNMARKED} AS plain FROM conversations")
+def q_s5_f20_control_sequences(spark, sf_dir):
+    marked = F.col("text")
+    for found, code in ((" t", "\x01R"), (" a", "\x013"), (" o", "\x01N"), (" h", "\x01" + chr(130))):
+        marked = F.replace(marked, F.lit(found), F.lit(code))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", blobs.translate_controls(marked).alias("plain"))
+
+
+@query("SELECT event_id, least(255, greatest(1, 128 + CASE WHEN event_type = 'click' THEN -greatest(1, 128 // 32) ELSE greatest(1, 128 // 32) END)) AS p FROM events")
+def q_f24_adapted_probability(spark, sf_dir):
+    p, one = F.lit(128), F.col("event_type") == "click"
+    step = F.greatest(F.lit(1), F.floor(F.when(one, 256 - p).otherwise(p) / 32)).cast("int")
+    moved = F.when(one, F.greatest(F.lit(1), p - step)).otherwise(F.least(F.lit(255), p + step))
+    return table(spark, sf_dir, "events").select("event_id", moved.alias("p"))
+
+
+@query(f"""WITH {BYTES}, s AS (SELECT d.lang, b.blob_id, CASE WHEN b = 0 THEN 0 ELSE floor(log2(b))::INT + 1 END AS sym, count(*) AS n FROM b JOIN documents d ON d.doc_id = blob_id GROUP BY ALL)
+SELECT lang, sym, count(*) AS n_blobs, sum(n)::BIGINT AS total, max(n) AS most FROM s GROUP BY lang, sym""")
+def q_a3_symbol_frequencies(spark, sf_dir):
+    df = docs(spark, sf_dir).withColumn("key", F.struct("doc_id", "lang"))
+    b = F.col("b")
+    each = blobs.bytes_of(df, "key", "text").groupBy("blob_id", F.when(b == 0, 0).otherwise(bits.floor_log2(b) + 1).cast("int").alias("sym")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(F.col("blob_id.lang").alias("lang"), "sym").agg(F.count(F.lit(1)).alias("n_blobs"), F.sum("n").alias("total"), F.max("n").alias("most"))

@@ -133,3 +133,10 @@ def test_bucket_prefixes_are_free():
     codes = forward.bucket_prefixes(list(range(16)))
     assert sorted(map(len, codes)) == sorted([3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 8, 9, 9, 9, 9])
     assert not any(a != b and b.startswith(a) for a in codes for b in codes)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.binary(max_size=60).map(lambda b: bytes(x & 1 for x in b)))
+def test_prefix_matches(data):
+    want = [next((k for k in range(len(data) - i) if data[k] != data[i + k]), len(data) - i) for i in range(1, len(data))]
+    assert parse.prefix_matches(data) == want
