@@ -17,7 +17,7 @@ import numpy as np
 from .words import ALNUM_MAP, SPACED, prefix_sums, range_hash
 
 END_ID = 1
-#: Entries of the cache (some 300 MB); when it is full it starts anew.
+#: Entries of the cache (some 100 MB); when it is full it starts anew.
 CACHE = 1_600_000
 
 
@@ -66,7 +66,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # by key; a piece's place in the tables below
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
@@ -115,9 +115,13 @@ class Encoder:
         starts, ends, doc = self._pieces(buf, offs) if len(buf) else (np.zeros(0, np.int64),) * 2 + (np.zeros(n + 1, np.int64),)
         if len(starts):
             keys, where, back = np.unique(range_hash(prefix_sums(buf, self.mapped), starts, ends), return_index=True, return_inverse=True)
-            if len(self.index) + len(keys) > CACHE:
+            if len(self.keys) + len(keys) > CACHE:
                 self._clear()
-            got = np.array([self.index.get(k, -1) for k in keys.tolist()], np.int64)
+            got = np.full(len(keys), -1)
+            if len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                same = self.keys[at] == keys
+                got[same] = self.place[at[same]]
             missing = np.flatnonzero(got < 0)
             if len(missing):
                 raw = buf.tobytes()
@@ -138,7 +142,7 @@ class Encoder:
         return ids, out_offs
 
     def _add(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
-        first = len(self.index)
+        first = len(self.keys)
         flat, sizes = self._encode_pieces(texts)
         total = len(flat)
         while len(self.flat) < self.used + total:
@@ -151,7 +155,8 @@ class Encoder:
         self.size[places] = sizes
         self.begin[places] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.used += total
-        self.index.update(zip(keys.tolist(), places.tolist()))
+        at = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, places)
         return places
 
     def _encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
