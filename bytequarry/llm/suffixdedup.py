@@ -264,17 +264,17 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     tune(rows.sparkSession)
     found = _anchor_rows(rows)
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("k"), "n")
-    cold = found.join(shared.filter(F.col("n") <= HOT), F.col("h") == F.col("k")).drop("k", "n")
-    # an anchor's occurrences are together now, and at most HOT
-    same = Window.partitionBy("h", "c")
-    cold = cold.withColumn("copies", F.count(F.lit(1)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("rid", "lo"))).withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("h")))
-    owned = F.struct("h", "lo", "hi", "whole", "sort", "hot")
-    cold = cold.withColumn("whole", F.col("copies") > 1).withColumn("sort", (F.col("nth") == 1) & (F.col("kinds") > 1)).withColumn("hot", F.lit(False))
-    cold = cold.filter("whole or sort").withColumn("h", F.when(F.col("sort"), F.col("h"))).select("rid", owned.alias("o"))
-    hot = found.join(shared.filter(F.col("n") > HOT), F.col("h") == F.col("k")).withColumns({"whole": F.lit(False), "sort": F.lit(False), "hot": F.lit(True)}).select("rid", owned.alias("o"))
-    met = cold.union(hot).groupBy("rid").agg(F.collect_list("o").alias("owned"))
-    joined = rows.join(met, F.col("__rid") == F.col("rid"), "left").drop("rid")
-    some = joined.filter("owned is not null").select("__rid", "__text", "owned")
+    met = found.join(shared, F.col("h") == F.col("k")).drop("k").withColumn("hot", F.col("n") > HOT)
+    # an anchor's occurrences are together now, those of a hot one by document
+    met = met.withColumn("salt", F.when(F.col("hot"), F.col("rid")))
+    same = Window.partitionBy("h", "salt", "c")
+    met = met.withColumn("copies", F.count(F.lit(1)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("rid", "lo")))
+    met = met.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("h", "salt")))
+    met = met.withColumn("whole", ~F.col("hot") & (F.col("copies") > 1)).withColumn("sort", ~F.col("hot") & (F.col("nth") == 1) & (F.col("kinds") > 1))
+    met = met.filter("whole or sort or hot").select("rid", F.struct(F.when(F.col("sort"), F.col("h")).alias("h"), "lo", "hi", "whole", "sort", "hot").alias("o"))
+    joined = rows.join(met.groupBy("rid").agg(F.collect_list("o").alias("owned")), F.col("__rid") == F.col("rid"), "left").drop("rid")
+    # the same columns as in the result, so that the texts are shuffled once
+    some = joined.filter("owned is not null").select("__rid", "__id", "__text", "owned")
     parted = _contexts(some, False).repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "rid bigint, first int, end int")
     windows = _contexts(some.filter(F.exists("owned", lambda o: o["hot"])), True)
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("w1").alias("k1"), F.col("w2").alias("k2"))
