@@ -8,7 +8,7 @@ documents that agree in one are candidates. Two documents of similarity 0.8 shar
 
 Documents with equal words are one class from the start, and only its first goes on. In every bucket the members
 are compared with a centre, the one that meets most others in its own buckets; members that fail are compared with
-the next best in the next rounds, and at last with the best among themselves. So a bucket of any size costs a row
+the next best in the next round, and then with the best among themselves. So a bucket of any size costs a row
 per member and round, and never its pairs.
 A candidate is verified by banded alignment: the longest chain of equal labelled shingles that rises in both texts
 within a band that holds every pair of enough similarity; chain / (both lengths - chain) must be SIMILARITY or more.
@@ -34,7 +34,7 @@ from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, prefix_sums, range_hash,
 
 SHINGLE, SIMILARITY = 5, 0.8
 ORDER, SKETCHES = 4, 20
-ROUNDS = 6
+ROUNDS = 4
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
