@@ -8,8 +8,9 @@ documents that agree in one are candidates. Two documents of similarity 0.8 shar
 
 Documents with equal words are one class from the start, and only its first goes on. In every bucket the members
 are compared with a centre, the one that meets most others in its own buckets; members that fail are compared with
-the next best in the next round, and then with the best among themselves. So a bucket of any size costs a row
-per member and round, and never its pairs.
+the next best in the next round, and then with the best among themselves: a row per member and round, which joins
+most families. Members of a bucket that still lie in different classes are compared exactly, by an inverted index of
+their rarest labelled shingles: two sequences of similarity s share one of the n - ceil(s n) + 1 rarest of either.
 A candidate is verified by banded alignment: the longest chain of equal labelled shingles that rises in both texts
 within a band that holds every pair of enough similarity; chain / (both lengths - chain) must be SIMILARITY or more.
 Links are joined to classes as connected components.
@@ -24,7 +25,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import map_text, materialize, record, text_buffer, tune, with_row_id
@@ -180,6 +181,48 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _shingled(texts: DataFrame) -> DataFrame:
+    """a, n, h: a row for each labelled shingle of a text, and their number."""
+
+    def kernel():
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            shingles, at, _ = labelled_shingles(*text_buffer(part.column("__text")))
+            sizes = np.diff(at)
+            ids = part.column("__rid").to_numpy()
+            return record(a=(np.repeat(ids, sizes), pa.int64()), n=(np.repeat(sizes, sizes), pa.int32()), h=(shingles.view(np.int64), pa.int64()))
+
+        return work
+
+    return map_text(texts.select("__rid", "__text"), "__text", kernel, "a bigint, n int, h bigint")
+
+
+def _open(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """a, c (its class so far) of the members of buckets that hold several classes; two members have met already."""
+    marked = entries.join(joined, F.col("a") == F.col("node"), "left").select("a", "key", F.coalesce("root", "a").alias("c"))
+    mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi and size > 2")
+    return marked.join(mixed.select(F.col("key").alias("k")), F.col("key") == F.col("k")).select("a", "c").distinct()
+
+
+def _partners(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (a, c) of different classes c, with all of those of enough similarity."""
+    labelled = materialize(_shingled(texts.join(members.select("a"), F.col("__rid") == F.col("a"), "left_semi")), "shingles")
+    held = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").withColumnRenamed("h", "k")
+    own = Window.partitionBy("a")
+    # the rarest first; those of one text only come before all others, and meet nothing
+    held = labelled.join(held, F.col("h") == F.col("k")).select("a", "n", "h", (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "h"))).alias("at"))
+    held = held.filter(F.col("at") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-6) + 1)
+    held = held.join(members.select(F.col("a").alias("m"), "c"), F.col("a") == F.col("m")).select("a", "n", "h", "at", "c")
+    held = materialize(held, "rarest")
+    open_ = held.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("h").alias("k"))
+    one = held.join(open_, F.col("h") == F.col("k")).drop("k")
+    two = one.select(*(F.col(x).alias(f"{x}2") for x in one.columns))
+    met = one.join(two, (F.col("h") == F.col("h2")) & (F.col("c") < F.col("c2")))
+    # the first shingle that both have leaves room for the others that they must share
+    met = met.filter(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1 >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n2")) - 1e-6)
+    met = met.filter(F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2"))
+    return met.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct()
+
+
 def classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """__rid, doc_id, class_id, first (is it the first of its class) for each of the rows, which have __rid."""
     tune(rows.sparkSession)
@@ -213,6 +256,10 @@ def classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
         if left.isEmpty():
             break
     joined = components(links, "a", "b")
+    members = materialize(_open(entries, joined), "open")
+    if not members.isEmpty():
+        pairs = materialize(_partners(texts, members).join(tried, ["a", "b"], "left_anti"), "partners")
+        joined = components(links.union(materialize(_verified(pairs, texts), "links")), "a", "b")
     members = copies.select("e1", "e2", "rep", "rep_id").join(joined, F.col("rep") == F.col("node"), "left")
     members = members.select("e1", "e2", F.coalesce("root", "rep").alias("root"), "rep", "rep_id")
     order = F.struct(F.col("rep_id").isNull().alias("null"), F.col("rep_id"), F.col("rep"))

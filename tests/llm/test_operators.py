@@ -92,6 +92,25 @@ def test_near_duplicate_family_in_one_class(spark):
     assert all(got[100 + k].class_id == 100 + k for k in range(20))
 
 
+def edited(r, base_words, places):
+    w = list(base_words)
+    for p in places:
+        w[p] = f"w{r.randrange(10**6)}"
+    return w
+
+
+def test_near_duplicate_chain_of_revisions_in_large_family(spark):
+    r = random.Random(5)
+    base_words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    docs = [(0, " ".join(base_words))] + [(k, " ".join(edited(r, base_words, [37 * k % 200]))) for k in range(1, 120)]
+    for k in range(60):  # the second revision is near the first only
+        y = edited(r, base_words, [11 * k % 150 + 10])
+        x = edited(r, y, [(11 * k % 150 + d) % 190 + 5 for d in (40, 60, 80, 100)])
+        docs += [(1000 + k, " ".join(y)), (2000 + k, " ".join(x))]
+    got = by_id(nearduplicates.report(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert {r.class_id for r in got.values()} == {0}
+
+
 def test_near_duplicates_odd(spark):
     rows = nearduplicates.report(edge.table(spark)).collect()
     assert len(rows) == len(edge.rows())
