@@ -35,7 +35,10 @@ from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, prefix_sums, range_hash,
 
 SHINGLE, SIMILARITY = 5, 0.8
 ORDER, SKETCHES = 4, 20
+#: Rounds of centres; what they leave is compared exactly, so their number tells on time, not on results.
 ROUNDS = 4
+#: Texts of one rare shingle that meet in a task at once.
+BLOCK = 500
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -213,10 +216,14 @@ def _partners(texts: DataFrame, members: DataFrame) -> DataFrame:
     held = held.filter(F.col("at") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-6) + 1)
     held = held.join(members.select(F.col("a").alias("m"), "c"), F.col("a") == F.col("m")).select("a", "n", "h", "at", "c")
     held = materialize(held, "rarest")
-    open_ = held.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("h").alias("k"))
-    one = held.join(open_, F.col("h") == F.col("k")).drop("k")
-    two = one.select(*(F.col(x).alias(f"{x}2") for x in one.columns))
-    met = one.join(two, (F.col("h") == F.col("h2")) & (F.col("c") < F.col("c2")))
+    # a shingle of many texts is cut into blocks, and every two blocks meet under a key of their own
+    open_ = held.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    open_ = open_.select(F.col("h").alias("k"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    one = held.join(open_, F.col("h") == F.col("k")).drop("k").withColumn("u", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    two = one.withColumn("v2", every).select("v2", *(F.col(x).alias(f"{x}2") for x in ("a", "n", "h", "at", "c", "u")))
+    one = one.withColumn("v", every)
+    met = one.join(two, (F.col("h") == F.col("h2")) & (F.col("u") == F.col("v2")) & (F.col("v") == F.col("u2")) & (F.col("c") < F.col("c2")))
     # the first shingle that both have leaves room for the others that they must share
     met = met.filter(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1 >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n2")) - 1e-6)
     met = met.filter(F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2"))

@@ -111,6 +111,18 @@ def test_near_duplicate_chain_of_revisions_in_large_family(spark):
     assert {r.class_id for r in got.values()} == {0}
 
 
+def test_near_duplicate_families_with_a_shared_passage(spark, monkeypatch):
+    monkeypatch.setattr(nearduplicates, "BLOCK", 20, raising=False)
+    r = random.Random(6)
+    passage, docs = [f"w{r.randrange(10**6)}" for _ in range(150)], []
+    for k in range(150):  # more families in a bucket than there are rounds
+        own = [f"w{r.randrange(10**6)}" for _ in range(25)]
+        docs.append((2 * k, " ".join(passage + own)))
+        docs.append((2 * k + 1, " ".join(edited(r, passage, [5 * k % 140, (5 * k + 50) % 140, (5 * k + 80) % 140]) + own)))
+    got = by_id(nearduplicates.report(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert all(x.class_id == d - d % 2 for d, x in got.items())
+
+
 def test_near_duplicates_odd(spark):
     rows = nearduplicates.report(edge.table(spark)).collect()
     assert len(rows) == len(edge.rows())
