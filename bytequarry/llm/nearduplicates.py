@@ -3,8 +3,9 @@
 A document is the sequence of its 5-word shingles (words: lower-cased runs of ASCII letters, digits and non-ASCII
 bytes; a text of fewer words is one shingle), each labelled with its number of occurrence. A sketch takes the
 ORDER smallest labelled shingles of a random order and keeps them in text order; SKETCHES of them are taken, and
-documents that agree in one are candidates. Two documents of similarity 0.8 share a sketch with probability
-0.8 ** ORDER, so all SKETCHES are missed once in some forty thousand pairs.
+documents that agree in one are candidates. Two long documents of similarity 0.8 share a sketch with probability
+0.8 ** ORDER, so all SKETCHES are missed once in some forty thousand pairs. Of few shingles the smallest are more
+often different, so texts of SHORT shingles at most are compared exactly with each other, whatever their sketches.
 
 Documents with equal words are one class from the start, and only its first goes on. In every bucket the members
 are compared with a centre, the one that meets most others in its own buckets; members that fail are compared with
@@ -35,6 +36,7 @@ from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, prefix_sums, range_hash,
 
 SHINGLE, SIMILARITY = 5, 0.8
 ORDER, SKETCHES = 4, 20
+SHORT = 30
 #: Rounds of centres; what they leave is compared exactly, so their number tells on time, not on results.
 ROUNDS = 4
 #: Texts of one rare shingle that meet in a task at once.
@@ -240,7 +242,8 @@ def classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
     entries = materialize(entries.join(met, F.col("key") == F.col("k")).drop("k"), "buckets")
     score = entries.groupBy("a").agg(F.sum("size").alias("score")).withColumnRenamed("a", "s")
     entries = entries.join(score, F.col("a") == F.col("s")).select("a", "n", "key", "score")
-    texts = rows.select("__rid", F.col(text).cast("string").alias("__text")).join(entries.select("a").distinct(), F.col("__rid") == F.col("a"), "left_semi")
+    short = copies.filter(F.col("n").between(1, SHORT)).select(F.col("rep").alias("a"))
+    texts = rows.select("__rid", F.col(text).cast("string").alias("__text")).join(entries.select("a").union(short).distinct(), F.col("__rid") == F.col("a"), "left_semi")
     texts = materialize(texts, "candidates")
     entries = materialize(entries, "bucket-members")
     links, tried, centres, left = None, None, None, entries
@@ -263,7 +266,8 @@ def classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
         if left.isEmpty():
             break
     joined = components(links, "a", "b")
-    members = materialize(_open(entries, joined), "open")
+    short = short.join(joined, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("c"))
+    members = materialize(_open(entries, joined).union(short).distinct(), "open")
     if not members.isEmpty():
         pairs = materialize(_partners(texts, members).join(tried, ["a", "b"], "left_anti"), "partners")
         joined = components(links.union(materialize(_verified(pairs, texts), "links")), "a", "b")

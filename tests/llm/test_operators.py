@@ -123,6 +123,16 @@ def test_near_duplicate_families_with_a_shared_passage(spark, monkeypatch):
     assert all(x.class_id == d - d % 2 for d, x in got.items())
 
 
+def test_near_duplicates_of_few_words(spark):
+    r = random.Random(7)
+    docs = []
+    for k in range(600):  # four shingles and five: a similarity of 0.8
+        w = [f"w{r.randrange(10**6)}" for _ in range(9)]
+        docs += [(2 * k, " ".join(w[:8])), (2 * k + 1, " ".join(w))]
+    got = by_id(nearduplicates.report(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert all(x.class_id == d - d % 2 for d, x in got.items())
+
+
 def test_near_duplicates_odd(spark):
     rows = nearduplicates.report(edge.table(spark)).collect()
     assert len(rows) == len(edge.rows())
