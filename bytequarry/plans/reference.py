@@ -1,7 +1,8 @@
 """Queries for the operator inventory, over whole tables, with the SQL that checks each.
 
 Keys name the inventory's entries. What the inventory states on single blobs runs on every text of `documents` (or
-`benchmark`, where each byte makes many rows); integer sequences come from the star-schema tables."""
+`benchmark`, where each byte makes many rows); parses, coders and list transforms run on the short turns of `conversations`,
+which never reach the windows of 32 and 128 KB; integer sequences come from the star-schema tables."""
 
 from __future__ import annotations
 
@@ -555,7 +556,7 @@ s AS (SELECT x.blob_id, x.pos, x.b, x.before, count(DISTINCT y.b) FILTER (WHERE
 SELECT blob_id, pos, (CASE WHEN before IS NOT NULL THEN since ELSE b + above END)::INT AS idx FROM s""")
 def q_t23_move_to_front(spark, sf_dir):
     """Relational move to front: the bytes since the last occurrence, or, for a new byte, those seen above it. A frame
-    of what came before holds each byte's last place once (a map of at most 256 entries), so nothing is joined."""
+    collects all bytes before, which grows with the square of a text's length, so it runs on the small `benchmark` only."""
     rows = blobs.bytes_of(table(spark, sf_dir, "benchmark"), "item_id", "text")
     w = Window.partitionBy("blob_id").orderBy("pos")
     seen = F.collect_list(F.struct("b", "pos")).over(w.rowsBetween(Window.unboundedPreceding, -1))
