@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bytequarry.llm import decontaminate, linededup, nearduplicates, packing, quality
 from bytequarry.llm.base import materialize, table
-from bytequarry.llm.queries import TOKENIZERS
+from bytequarry.llm.queries import BYTE_BPE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids, in sequences."""
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=True)
+    return packing.pack(docs, BYTE_BPE, with_ids=True)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-duplicates", near_duplicates), ("benchmark decontamination", benchmark_decontamination), ("packing", pack)]
