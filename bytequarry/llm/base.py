@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship, table  # noqa: F401
 
@@ -27,13 +28,21 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is named, as in tests."""
+    """The folder that driver and executors share. Where none is named, a folder of our own in local mode only:
+    the executors of a cluster would each write to a disk of theirs."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "/tmp/checkpoints"
     return named.rstrip("/")
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write a table into the shared folder and read it back: this cuts the lineage, survives lost
     executors, and fixes the order-dependent parts of what was computed. It goes when the driver ends."""
@@ -45,11 +54,20 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What leaves the rows of a file scan in their order, as Spark's plans name it.
+_STEADY = {"LogicalRelation", "LocalRelation", "Project", "Filter", "SubqueryAlias", "DataSourceV2ScanRelation"}
+
+
+def _steady(plan) -> bool:
+    """Does a plan only read files, or rows that the driver gave, and take them as they come?"""
+    children = plan.children()
+    return plan.getClass().getSimpleName() in _STEADY and all(_steady(children.apply(k)) for k in range(children.size()))
+
+
 def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
     """Number the rows of a file scan (equal in every evaluation of the plan, as the files are split alike);
-    what comes from a shuffle, where the order of rows may change, is written and read back first."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(k in plan for k in ("Join", "Aggregate", "Repartition", "Window", "Sort", "Limit", "Sample", "Union", "Python", "Arrow", "Pandas")):
+    what comes from anything else, where the order of rows may change, is written and read back first."""
+    if not _steady(df._jdf.queryExecution().optimizedPlan()):
         df = materialize(df, "rows")
     return df.withColumn(name, F.monotonically_increasing_id())
 
@@ -84,7 +102,7 @@ def parts(batch: pa.RecordBatch, text: str, limit: int = PART_BYTES) -> Iterator
         at = to
 
 
-def map_text(df: DataFrame, text: str, kernel: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, limit: int = PART_BYTES) -> DataFrame:
+def map_text(df: DataFrame, text: str, kernel: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, limit: int = PART_BYTES) -> DataFrame:
     """mapInArrow over parts of bounded size. `kernel` makes the function once a task."""
     tune(df.sparkSession)
 

@@ -22,6 +22,7 @@ are copies; the class is named by its smallest document id (nulls last); an empt
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .base import map_text, materialize, record, text_buffer, tune, with_row_id
 from .graph import components
 from .quality import duplicates
-from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, prefix_sums, range_hash, window_valid, windows
+from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, window_valid, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
 ORDER, SKETCHES = 4, 20
@@ -131,6 +132,22 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
     return length / (na + nb - length)
 
 
+def _digests(buf: np.ndarray, offs: np.ndarray, words: Words, rids: pa.Array, valid: pa.Array) -> np.ndarray:
+    """BLAKE2 digests of 128 bits, as two numbers: of a text's words, of its bytes if it has none, or of its row id
+    if it is null."""
+    joined = words.starts[1:] > words.ends[:-1]  # a space stands for what divides two words of one text
+    joined[words.doc[1:-1][(words.doc[1:-1] > 0) & (words.doc[1:-1] < len(words.starts))] - 1] = False
+    space = words.ends[:-1][joined]
+    low, keep = ALNUM_MAP[buf], words.inside.copy()
+    low[space], keep[space] = 32, True
+    sums = np.concatenate([[0], np.cumsum(keep)])[offs].tolist()
+    low, raw, at, out = low[keep].tobytes(), buf.tobytes(), offs.tolist(), []
+    for r, (n, there, rid) in enumerate(zip(words.counts.tolist(), valid.to_pylist(), rids.to_pylist())):
+        content, kind = (low[sums[r] : sums[r + 1]], b"words") if n else (raw[at[r] : at[r + 1]], b"bytes") if there else (str(rid).encode(), b"null")
+        out.append(hashlib.blake2b(content, digest_size=16, person=kind).digest())
+    return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2).T
+
+
 def _sketches(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """__rid, id, two hashes of the words (of the bytes, if there are none), number of shingles, sketches."""
 
@@ -140,26 +157,11 @@ def _sketches(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
             shingles, at, words = labelled_shingles(buf, offs)
             n = part.num_rows
             keys = sketch(shingles, at)
-            # the sequence of words as a whole, twice
-            second = mix(words.hash ^ np.uint64(0x5851F42D4C957F2D))
-            pow_ = np.multiply.accumulate(np.full(max(1, int(words.counts.max(initial=0))), _ODD, np.uint64))
-            place = np.arange(len(words.hash)) - words.doc[words.rows()]
-            total = lambda h: np.array([0], np.uint64) if not len(h) else np.concatenate([[np.uint64(0)], np.cumsum(h * pow_[place], dtype=np.uint64)])
-            span = lambda c: mix(c[words.doc[1:]] - c[words.doc[:-1]] + words.counts.astype(np.uint64))
-            e1, e2 = span(total(words.hash)), span(total(second))
-            bare = words.counts == 0
-            if bare.any():
-                sums = prefix_sums(buf)
-                e1[bare] = range_hash(sums, offs[:-1][bare], offs[1:][bare])
-                e2[bare] = np.uint64(1)
-            null = ~part.column("__text").is_valid().to_numpy(zero_copy_only=False)
-            if null.any():  # alone
-                e1[null] = part.column("__rid").to_numpy()[null].astype(np.uint64)
-                e2[null] = np.uint64(2)
+            e1, e2 = _digests(buf, offs, words, part.column("__rid"), part.column("__text").is_valid())
             sizes = np.diff(at)
             some = sizes > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, SKETCHES, 0))]), pa.int32()), pa.array(keys[some].ravel().view(np.int64)))
-            return record(__rid=(part.column("__rid"), None), __id=(part.column("__id"), None), e1=(e1.view(np.int64), pa.int64()), e2=(e2.view(np.int64), pa.int64()), n=(sizes, pa.int32()), keys=(lists, None))
+            return record(__rid=(part.column("__rid"), None), __id=(part.column("__id"), None), e1=(e1, pa.int64()), e2=(e2, pa.int64()), n=(sizes, pa.int32()), keys=(lists, None))
 
         return work
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import parts, record, text_buffer, tune
-from .tokens import Encoder
+from .tokens import encoder
 
 WINDOW, GROUP, PIECE, MARGIN = 2048, 64, 512, 0.002
 
@@ -70,7 +70,7 @@ def pack(docs: DataFrame, tokenizer: str, drops_space: bool = False, lowers: boo
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, sequence = Encoder(tokenizer, drops_space, lowers), TaskContext.get().partitionId() << 40
+        coder, sequence = encoder(tokenizer, drops_space, lowers), TaskContext.get().partitionId() << 40
         room = GROUP * window - int(GROUP * window * MARGIN)
         rows: list[tuple] = []  # finished pieces
         owners: list[pa.Array] = []
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, drops_space: bool = False, lowers: boo
 
         for batch in batches:
             for part in parts(batch, "__text"):
-                ids, offs = encoder.encode(*text_buffer(part.column("__text")))
+                ids, offs = coder.encode(*text_buffer(part.column("__text")))
                 owner = part.column("__id")
                 for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
                     doc, n, start = owner.slice(r, 1), b - a, 0

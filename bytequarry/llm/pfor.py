@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .base import parts, record, shared_dir, text_buffer, tune
-from .tokens import Encoder
+from .tokens import encoder
 
 BLOCK, PERCENTILE = 128, 90
 #: Ids after which a segment ends, at the end of a document.
@@ -123,7 +123,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, lowers:
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer, drops_space, lowers), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer, drops_space, lowers), TaskContext.get().partitionId()
         seq = before = 0
         held, owners, sizes = [], [], []
 
@@ -138,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, lowers:
 
         for batch in batches:
             for piece in parts(batch, "__text"):
-                ids, offs = encoder.encode(*text_buffer(piece.column("__text")))
+                ids, offs = coder.encode(*text_buffer(piece.column("__text")))
                 held.append(ids)
                 owners.append(piece.column("__id"))
                 sizes.extend(np.diff(offs).tolist())

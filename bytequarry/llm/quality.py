@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .base import map_text, materialize, record, text_buffer
-from .words import SPACED, Words, mix, per_row, prefix_sums, range_hash, window_valid, windows
+from .base import column, map_text, materialize, record, text_buffer
+from .words import SPACED, Words, mix, per_row, range_hash, same_bytes, window_valid, windows
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WORDS = 10, 20, 5
@@ -49,15 +50,43 @@ def duplicates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, any_
 
 
-def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, and `keep`."""
-    keep = keep or []
+def repeated(buf: np.ndarray, keys: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(is a later copy, has a copy) for each sequence of `size` byte ranges, from the range `first` on, with the
+    given hashes, within the rows of the batch. Equal hashes are held against the bytes; a row where they mislead
+    is done again by its bytes alone."""
+    salted = keys + mix(np.arange(1, int(row.max(initial=0)) + 2, dtype=np.uint64))[row]
+    later, any_ = duplicates(salted)
+    order = np.flatnonzero(any_)
+    order = order[np.argsort(salted[order], kind="stable")]
+    same = np.flatnonzero(salted[order][1:] == salted[order][:-1])
+    a, b = order[same], order[same + 1]
+    right = row[a] == row[b]
+    for j in range(size):
+        x, y = first[a] + j, first[b] + j
+        length = ends[x] - starts[x]
+        right &= length == ends[y] - starts[y]
+        live = np.flatnonzero(right)
+        right[live] = same_bytes(buf, starts[x[live]], buf, starts[y[live]], length[live])
+    for r in np.unique(np.concatenate([row[a[~right]], row[b[~right]]])).tolist():
+        mine, seen = np.flatnonzero(row == r), {}
+        later[mine] = any_[mine] = False
+        for k in mine.tolist():
+            content = tuple(buf[starts[x] : ends[x]].tobytes() for x in range(first[k], first[k] + size))
+            if content in seen:
+                later[k] = any_[k] = any_[seen[content]] = True
+            seen.setdefault(content, k)
+    return later, any_
+
+
+def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", whole: bool = False) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, __lang,
+    __source, and with `whole` the row of docs as the struct __row."""
+    keep = ["__lang", "__source", *(["__row"] if whole else [])]
 
     def kernel():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             buf, offs = text_buffer(part.column("__text"))
             n = part.num_rows
-            salt = mix(np.arange(1, n + 1, dtype=np.uint64))
             words = Words(buf, offs, SPACED)
             newline = np.flatnonzero(buf == 10)
             starts = np.unique(np.concatenate([offs[:-1], newline + 1]))
@@ -70,17 +99,17 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: l
             starts, ends, row = starts[full], ends[full], row[full]
             worded = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
             starts, ends, row = starts[worded], ends[worded], row[worded]
-            later, _ = duplicates(range_hash(prefix_sums(buf), starts, ends) + salt[row])
+            later, _ = repeated(buf, range_hash(buf, starts, ends), row, starts, ends, np.arange(len(starts)), 1)
             n_dup = np.bincount(row[later], minlength=n)
             n_lines = np.bincount(row, minlength=n)
             keys = windows(words.hash, REPEAT_WORDS)
             valid = window_valid(words.counts, len(words.hash), REPEAT_WORDS)
             place = np.flatnonzero(valid)
-            _, twice = duplicates(keys[place] + salt[words.rows()[place]])
+            _, twice = repeated(buf, keys[place], words.rows()[place], words.starts, words.ends, place, REPEAT_WORDS)
             cover = np.zeros(len(words.hash) + REPEAT_WORDS + 1, np.int64)
             cover[place[twice]] += 1
             cover[place[twice] + REPEAT_WORDS] -= 1
-            repeated = np.cumsum(cover)[: len(words.hash)] > 0
+            again = np.cumsum(cover)[: len(words.hash)] > 0
             lead_byte = (buf & 0xC0) != 0x80
             out = {
                 "doc_id": (part.column("__id"), None),
@@ -88,20 +117,23 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: l
                 "word_chars": (per_row(words.inside & lead_byte, offs), pa.int64()),
                 "n_symbols": (per_row(_SYMBOL[buf], offs), pa.int64()),
                 "n_dup_lines": (n_dup, pa.int64()),
-                "n_repeat_words": (per_row(repeated, words.doc), pa.int64()),
+                "n_repeat_words": (per_row(again, words.doc), pa.int64()),
                 "n_lines": (n_lines, pa.int64()),
                 "n_upper": (per_row(_UPPER[buf], offs), pa.int64()),
                 "n_marks": (per_row(_MARK[buf], offs), pa.int64()),
             }
             for c in keep:
-                out[f"__keep_{c}"] = (part.column(f"__keep_{c}"), None)
+                out[c] = (part.column(c), None)
             return record(**out)
 
         return work
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = f"doc_id {kinds[doc_id]}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_upper bigint, n_marks bigint" + "".join(f", `__keep_{c}` {kinds[c]}" for c in keep)
-    chosen = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
+    chosen = {"__id": column(doc_id), "__text": column(text).cast("string"), "__lang": column(lang), "__source": column(source)}
+    if whole:
+        chosen["__row"] = F.struct(*map(column, docs.columns))
+    chosen = docs.select(*(v.alias(k) for k, v in chosen.items()))
+    numbers = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_marks".split()
+    schema = StructType([StructField("doc_id", chosen.schema["__id"].dataType), *(StructField(c, LongType()) for c in numbers), *(chosen.schema[c] for c in keep)])
     return map_text(chosen, "__text", kernel, schema)
 
 
@@ -151,32 +183,31 @@ def thresholds(measured: DataFrame, lang: str, source: str) -> DataFrame:
     add = lambda keys: own.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     groups = _fences(own, ["g_lang", "g_source"])
     langs = _fences(add(["g_lang"]), ["g_lang"]).select(F.col("g_lang").alias("l_lang"), F.col("size").alias("l_size"), F.col("fences").alias("l_fences"))
-    all_ = _fences(add([]).withColumn("one", F.lit(1)), ["one"]).select(F.col("fences").alias("a_fences"), F.lit(1).alias("a_one"))
-    joined = groups.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").withColumn("one", F.lit(1)).join(all_, F.col("one") == F.col("a_one"), "left")
+    all_ = _fences(add([]).withColumn("one", F.lit(1)), ["one"]).select(F.col("fences").alias("a_fences"))
+    joined = groups.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(all_))  # one row
     return joined.select("g_lang", "g_source", F.when(F.col("size") >= MIN_GROUP, F.col("fences")).when(F.col("l_size") >= MIN_GROUP, F.col("l_fences")).otherwise(F.col("a_fences")).alias("fences"))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The measures of each document, base_failed, and kept. `keep` columns come as __keep_<name>.
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """doc_id, the measures of each document, base_failed, and kept.
 
     The measures (a few numbers a document) go through the shared folder, so that texts are scanned once."""
-    carried = list(dict.fromkeys([lang, source, *(keep or [])]))
-    measured = materialize(ratios(measure(docs, doc_id, text, carried)), "measures")
-    return _judged(measured, materialize(thresholds(measured, f"__keep_{lang}", f"__keep_{source}"), "thresholds"), lang, source)
+    measured = materialize(ratios(measure(docs, doc_id, text, lang, source)), "measures")
+    return _judged(measured, materialize(thresholds(measured, "__lang", "__source"), "thresholds")).drop("__lang", "__source")
 
 
 def filtered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that are kept, with all their columns. Texts are scanned twice, and never shuffled: once for
-    the thresholds, and once next to them (a row for each language and source)."""
-    first = ratios(measure(docs, doc_id, text, list(dict.fromkeys([lang, source]))))
-    limits = materialize(thresholds(materialize(first, "measures"), f"__keep_{lang}", f"__keep_{source}"), "thresholds")
-    judged = _judged(ratios(measure(docs, doc_id, text, docs.columns)), limits, lang, source)
-    return judged.filter("kept").select(*(F.col(f"`__keep_{c}`").alias(c) for c in docs.columns))
+    """The documents that are kept, with all their columns, whatever their names. Texts are scanned twice, and never
+    shuffled: once for the thresholds, and once next to them (a row for each language and source)."""
+    first = ratios(measure(docs, doc_id, text, lang, source))
+    limits = materialize(thresholds(materialize(first, "measures"), "__lang", "__source"), "thresholds")
+    judged = _judged(ratios(measure(docs, doc_id, text, lang, source, whole=True)), limits)
+    return judged.filter("kept").select(*(F.col("__row")[c].alias(c) for c in docs.columns))
 
 
-def _judged(measured: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
+def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    on = F.col(f"__keep_{lang}").eqNullSafe(F.col("g_lang")) & F.col(f"__keep_{source}").eqNullSafe(F.col("g_source"))
+    on = F.col("__lang").eqNullSafe(F.col("g_lang")) & F.col("__source").eqNullSafe(F.col("g_source"))
     judged = measured.join(limits, on, "left")
     passes = F.lit(True)
     for m in SLACK:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, htmltext, licenses, linededup, nearduplicates, oracles, packing, pfor, pii, quality, suffixdedup
 from .base import table
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: Files of the public tokenizers; each worker finds them where its machine keeps them.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +24,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +40,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfor.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", drops_space=True, lowers=True)
+    return pfor.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, drops_space=True, lowers=True)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

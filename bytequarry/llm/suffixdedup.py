@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .base import map_text, record, text_buffer, tune, with_row_id
-from .words import mix, prefix_sums, range_hash
+from .words import mix, range_hash, window_hash
 
 LENGTH, K = 200, 16
 HOT = 100_000
@@ -55,9 +55,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     none = (np.zeros(0, np.int64),) * 4
     if len(buf) < LENGTH:
         return none
-    sums = prefix_sums(buf)
-    at = np.arange(len(buf) - K + 1)
-    hashes = range_hash(sums, at, at + K)
+    hashes = window_hash(buf, K)
+    at = np.arange(len(hashes))
     bits = np.uint64(max(1, int(len(buf)).bit_length()))
     keyed = (hashes >> bits << bits) | at.astype(np.uint64)
     place = (sliding_min(keyed, LENGTH - K + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -171,7 +170,7 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     ranks = suffix_ranks(np.cumsum(used)[buf], 1, LENGTH, owned)
     place = np.flatnonzero(owned)
     place = place[np.argsort(ranks[place])]
-    full = range_hash(prefix_sums(buf), place, place + LENGTH)
+    full = window_hash(buf, LENGTH)[place] if len(place) else np.zeros(0, np.uint64)
     same = np.zeros(len(place) + 1, bool)
     same[1:-1] = full[1:] == full[:-1]
     flags = np.zeros(len(buf), bool)
@@ -196,7 +195,7 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             buf, offs = text_buffer(part.column("__text"))
             row, h, lo, hi = anchors(buf, offs)
-            c = range_hash(prefix_sums(buf), offs[row] + lo, offs[row] + hi + LENGTH) if len(row) else np.zeros(0, np.uint64)
+            c = range_hash(buf, offs[row] + lo, offs[row] + hi + LENGTH) if len(row) else np.zeros(0, np.uint64)
             return record(rid=(part.column("__rid").take(pa.array(row)), None), h=(h.astype(np.uint64).view(np.int64), pa.int64()), c=(c.view(np.int64), pa.int64()), lo=(lo, pa.int32()), hi=(hi, pa.int32()))
 
         return work
@@ -224,8 +223,8 @@ def _contexts(met: DataFrame, hot: bool) -> DataFrame:
             count = (hi - lo + 1).astype(np.int64)
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             start = np.repeat(offs[row] + lo, count) + inner
-            w1 = range_hash(prefix_sums(buf), start, start + LENGTH)
-            w2 = range_hash(prefix_sums(buf ^ 0x55), start, start + LENGTH) + mix(w1)
+            w1 = window_hash(buf, LENGTH)[start] if len(start) else np.zeros(0, np.uint64)
+            w2 = window_hash(buf ^ 0x55, LENGTH)[start] + mix(w1) if len(start) else w1
             return record(rid=(rid.take(pa.array(np.repeat(np.arange(len(row)), count))), None), lo=(np.repeat(lo, count) + inner, pa.int32()), w1=(w1.view(np.int64), pa.int64()), w2=(w2.view(np.int64), pa.int64()))
 
         return work

@@ -1,17 +1,21 @@
 """Words of whole text batches with numpy: positions, 64-bit hashes, windows of words.
 
-A word's hash is a sum of random values of its bytes, each times a power of an odd constant, modulo 2**64,
-followed by a mixing step. With prefix sums and the inverse powers every word of a batch costs the same,
-however long it is.
+The hash of a byte range starts from its length and takes in 8 bytes at a time: h = mix(h xor bytes), where mix is
+a bijection. Ranges of 8 bytes at most have different hashes if they differ and have the same length; others are
+compared where a collision would matter (`same_bytes`). Ranges of more than LONG bytes are hashed by XXH3.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _ODD = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_ODD, -1, 1 << 64)
-_RANDOM = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes from which a range is hashed and compared on its own.
+LONG = 512
+_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Masks that leave the first k of 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Lower-cases A-Z; words are ASCII letters, digits and all bytes from 0x80.
 ALNUM_MAP = np.arange(256, dtype=np.uint8)
@@ -22,20 +26,6 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 SPACED = np.ones(256, bool)
 SPACED[0x20] = SPACED[0x09:0x0E] = False
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the constant and of its inverse; kept for the next batch."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_ODD, _INV)):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
@@ -48,24 +38,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(buf: np.ndarray, mapped: np.ndarray | None = None) -> np.ndarray:
-    p, _ = powers(len(buf) + 1)
-    values = _RANDOM if mapped is None else _RANDOM[mapped]
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * p[:-1], out=out[1:])
+def chunks(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of buf (zeros follow it), as numbers; a view without copies of its own."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def range_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of buf."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_ODD) + _SEED)
+    eight = chunks(buf)
+    live = None  # all at first
+    at, left, h = starts, size, out
+    if len(size) and size.max() > LONG:
+        view = memoryview(np.ascontiguousarray(buf))
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(view[starts[k] : ends[k]])
+        live = np.flatnonzero(size <= LONG)
+        at, left, h = starts[live], size[live], out[live]
+    while len(at):
+        h = mix(h ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        if live is None:
+            out = h
+        else:
+            out[live] = h
+        more = np.flatnonzero(left > 8)
+        live = more if live is None else live[more]
+        at, left, h = at[more] + 8, left[more] - 8, h[more]
+    return out
+
+
+def window_hash(buf: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the `size` bytes (8 at least) from each place of buf, put together from hashes of half the bytes."""
+    if len(buf) < size:
+        return np.zeros(0, np.uint64)
+    out, span = mix(chunks(buf)[: len(buf) - 7]), 8
+    while span < size:
+        step = min(span, size - span)
+        ahead = out[step:]
+        out = out[: len(ahead)] * np.uint64(_ODD)
+        out += ahead
+        out, span = mix(out), span + step
     return out
 
 
-def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, given the prefix sums of the buffer."""
-    _, inv = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * inv[starts])
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the `size` bytes of a from `at` those of b from `other`, for each of the ranges?"""
+    out = np.ones(len(at), bool)
+    live = np.flatnonzero(size > 0)
+    if len(live) and size.max() > LONG:
+        va, vb = memoryview(np.ascontiguousarray(a)), memoryview(np.ascontiguousarray(b))
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = va[at[k] : at[k] + size[k]] == vb[other[k] : other[k] + size[k]]
+        live = np.flatnonzero((size > 0) & (size <= LONG))
+    ea = chunks(a)
+    eb = ea if a is b else chunks(b)
+    x, y, left = at[live], other[live], size[live]
+    while len(live):
+        good = (ea[x] ^ eb[y]) & _FIRST[np.minimum(left, 8)] == 0
+        out[live[~good]] = False
+        more = np.flatnonzero(good & (left > 8))
+        live, x, y, left = live[more], x[more] + 8, y[more] + 8, left[more] - 8
+    return out
 
 
-def text_hash(word: bytes, mapped: np.ndarray | None = None) -> int:
+def text_hash(word: bytes) -> int:
     buf = np.frombuffer(word, np.uint8)
-    sums = prefix_sums(buf, mapped)
-    return int(range_hash(sums, np.array([0]), np.array([len(buf)]))[0])
+    return int(range_hash(buf, np.array([0]), np.array([len(buf)]))[0])
 
 
 class Words:
@@ -87,7 +127,7 @@ class Words:
         self.ends = np.flatnonzero(last) + 1
         self.doc = np.searchsorted(self.starts, offs)
         if hashed:
-            self.hash = range_hash(prefix_sums(buf, mapped), self.starts, self.ends)
+            self.hash = range_hash(buf if mapped is None else mapped[buf], self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import edge
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from bytequarry.llm import base, decontaminate, graph, htmltext, licenses, linededup, nearduplicates, packing, pfor, pii, quality, queries, suffixdedup, tokens, words
 from bytequarry.llm.dom import Page, features
 
-BYTE, WORD = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/word_bpe_49k.json"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -50,6 +51,58 @@ def test_words(texts):
     assert valid.sum() == sum(max(0, len(t) - 2) for t in got)
 
 
+def thue_morse(k, a, b):
+    """Two strings of 2 ** k symbols that sums of symbols times powers can't tell apart modulo 2 ** 64."""
+    one, two = [a], [b]
+    for _ in range(k):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_thue_morse_words_are_told_apart(spark):
+    one, two = ("".join(x) for x in thue_morse(11, "a", "b"))
+    assert words.text_hash(one.encode()) != words.text_hash(two.encode())
+    many, other = (" ".join(x) for x in thue_morse(10, "left", "right"))
+    df = spark.createDataFrame([(1, one + "\n" + two), (2, many), (3, other), (4, one), (5, two)], "doc_id bigint, text string")
+    assert {r.doc_id: r.class_id for r in nearduplicates.report(df).collect()}[3] == 3
+    measured_ = by_id(quality.judge(df.selectExpr("*", "'en' lang", "'a' source")))
+    assert measured_[1].n_dup_lines == 0 and [measured_[k].n_repeat_words for k in (2, 3)] == [measured(t)[4] for t in (many, other)]
+    for path, word in ((BYTE, False), (WORD, True)):
+        ids, offs = tokens.Encoder(path, word, word).encode(*base.text_buffer(pa.array([one, two])))
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [encoded(path, one), encoded(path, two)]
+
+
+def test_colliding_hashes_are_held_against_the_bytes(spark, sf_dir, corpus, monkeypatch):
+    few = [t for _, t, *_ in corpus if t and len(t) < 2000][:40]
+    monkeypatch.setattr(tokens, "range_hash", lambda buf, a, b: np.full(len(a), 77, np.uint64) + (b - a).astype(np.uint64) // np.uint64(3))
+    for path, word in ((BYTE, False), (WORD, True)):
+        ids, offs = tokens.Encoder(path, word, word).encode(*base.text_buffer(pa.array(few)))
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [encoded(path, t) for t in few]
+    buf = np.frombuffer(b"abcdabxxab", np.uint8)
+    at = np.arange(0, 10, 2)
+    got = quality.repeated(buf, np.zeros(5, np.uint64), np.array([0, 0, 0, 0, 1]), at, at + 2, np.arange(5), 1)
+    assert got[0].tolist() == [False, False, True, False, False] and got[1].tolist() == [True, False, True, False, False]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=900), st.lists(st.tuples(st.integers(0, 900), st.integers(0, 900)), max_size=20))
+def test_ranges_of_bytes(raw, spans):
+    buf = np.frombuffer(raw * 2, np.uint8)
+    a = np.array([min(x, len(buf)) for x, _ in spans], np.int64)
+    b = np.array([min(x + n, len(buf)) for x, n in spans], np.int64)
+    hashes, seen = words.range_hash(buf, a, b), {}
+    for x, y, h in zip(a.tolist(), b.tolist(), hashes.tolist()):
+        assert seen.setdefault((raw * 2)[x:y], h) == h
+    assert len(set(seen.values())) == len(seen)
+    size = np.minimum(b - a, np.roll(b - a, 1))
+    want = [(raw * 2)[x : x + n] == (raw * 2)[y : y + n] for x, y, n in zip(a, np.roll(a, 1), size)]
+    assert words.same_bytes(buf, a, buf, np.roll(a, 1), size).tolist() == want
+    for k in (8, 16, 200):
+        hashes = words.window_hash(buf, k)
+        assert len(hashes) == max(0, len(buf) - k + 1)
+        assert len(set(hashes.tolist())) == len({(raw * 2)[i : i + k] for i in range(len(hashes))})
+
+
 # --- 1 -------------------------------------------------------------------------------------------------------------
 def shingles(text):
     w = word_list(text)
@@ -283,7 +336,6 @@ def encoded(path, text):
 
     if path not in _cache:
         _cache[path] = Tokenizer.from_file(path)
-        _cache[path].encode_special_tokens = True
     return _cache[path].encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -340,7 +392,7 @@ def test_differencing(sizes):
 
 
 # --- tokens and 8 --------------------------------------------------------------------------------------------------
-TEXT = st.lists(st.sampled_from([*"aB'st  \n\té 1.,-!<|>ñß中", "\u0301", "\u00a0", "\u2003", "\r", "<|endoftext|>"]), max_size=40).map("".join)
+TEXT = st.lists(st.sampled_from([*"aB'st  \n\té 1.,-!<|>ñß中", "\u0301", "\u00a0", "\u2003", "\r", "<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>"]), max_size=40).map("".join)
 
 
 @settings(max_examples=150, deadline=None)
