@@ -54,6 +54,21 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is heavy if it has this share of all rows or more; so there are at most HEAVY such keys.
+HEAVY = 1000
+
+
+def join_heavy(many: DataFrame, one: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of `many` with `one`, which has a row for each key and, as `size`, at least the number of rows of
+    `many` with it; these sizes add up to `total` at most. Rows of heavy keys stay where they are, and what `one`
+    has for them (HEAVY rows at most) comes to them; so no task gathers the rows of a heavy key. `many` is read
+    three times, so let it come from a table."""
+    limit = F.lit(max(1.0, total / HEAVY))
+    heavy = F.broadcast(one.filter(F.col(size) >= limit).drop(size))
+    rest = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return many.join(heavy, keys).unionByName(rest.join(one.filter(F.col(size) < limit).drop(size), keys))
+
+
 #: What leaves the rows of a file scan in their order, as Spark's plans name it.
 _STEADY = {"LogicalRelation", "LocalRelation", "Project", "Filter", "SubqueryAlias", "DataSourceV2ScanRelation"}
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import materialize, with_row_id
+from .base import join_heavy, materialize, with_row_id
 
 MIN_CHARS = 60
 
@@ -54,13 +54,14 @@ def line_windows(rows: DataFrame, doc_id: str, text: str, min_chars: int) -> Dat
 
 def deleted_lines(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """__rid2 and the numbers of the lines that go, of documents that lose some. `rows` have __rid."""
-    found = line_windows(rows, doc_id, text, min_chars)
+    found = materialize(line_windows(rows, doc_id, text, min_chars), "line-windows")
     place = F.struct("__rid", "fp_line")
-    shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(F.col("a") < F.col("b")).select(F.col("fp").alias("shared_fp"))
-    met = materialize(found.join(shared, F.col("fp") == F.col("shared_fp"), "left_semi").drop("fp", "fp_line"), "line-windows")
+    size = F.count(F.lit(1)).alias("size")
+    shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), size).filter(F.col("a") < F.col("b")).select("fp", "size")
+    met = materialize(join_heavy(found, shared, ["fp"], "size", found.count()).drop("fp", "fp_line"), "shared-windows")
     place = F.struct("__id", "__rid", "first")
-    firsts = met.groupBy("c1", "c2").agg(F.min(place).alias("kept"), F.max(place).alias("other")).filter(F.col("kept") < F.col("other")).select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "kept")
-    later = met.join(firsts, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))).filter(place > F.col("kept"))
+    firsts = met.groupBy("c1", "c2").agg(F.min(place).alias("kept"), F.max(place).alias("other"), size).filter(F.col("kept") < F.col("other")).drop("other")
+    later = join_heavy(met, firsts, ["c1", "c2"], "size", met.count()).filter(place > F.col("kept"))
     gone = later.select("__rid", F.explode(F.sequence("first", "last")).alias("ln"))
     return gone.groupBy(F.col("__rid").alias("__rid2")).agg(F.collect_set("ln").alias("__gone"))
 

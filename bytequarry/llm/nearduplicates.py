@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import map_text, materialize, record, text_buffer, tune, with_row_id
+from .base import join_heavy, map_text, materialize, record, text_buffer, tune, with_row_id
 from .graph import components
 from .quality import duplicates
 from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, window_valid, windows
@@ -203,20 +203,20 @@ def _shingled(texts: DataFrame) -> DataFrame:
     return map_text(texts.select("__rid", "__text"), "__text", kernel, "a bigint, n int, h bigint")
 
 
-def _open(entries: DataFrame, joined: DataFrame) -> DataFrame:
+def _open(entries: DataFrame, joined: DataFrame, total: int) -> DataFrame:
     """a, c (its class so far) of the members of buckets that hold several classes; two members have met already."""
-    marked = entries.join(joined, F.col("a") == F.col("node"), "left").select("a", "key", F.coalesce("root", "a").alias("c"))
+    marked = materialize(entries.join(joined, F.col("a") == F.col("node"), "left").select("a", "key", F.coalesce("root", "a").alias("c")), "marked")
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi and size > 2")
-    return marked.join(mixed.select(F.col("key").alias("k")), F.col("key") == F.col("k")).select("a", "c").distinct()
+    return join_heavy(marked, mixed.select("key", "size"), ["key"], "size", total).select("a", "c").distinct()
 
 
 def _partners(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (a, c) of different classes c, with all of those of enough similarity."""
     labelled = materialize(_shingled(texts.join(members.select("a"), F.col("__rid") == F.col("a"), "left_semi")), "shingles")
-    held = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").withColumnRenamed("h", "k")
+    held = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.count(F.lit(1)).alias("size")).filter("f > 1")
     own = Window.partitionBy("a")
     # the rarest first; those of one text only come before all others, and meet nothing
-    held = labelled.join(held, F.col("h") == F.col("k")).select("a", "n", "h", (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "h"))).alias("at"))
+    held = join_heavy(labelled, held, ["h"], "size", labelled.count()).select("a", "n", "h", (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "h"))).alias("at"))
     held = held.filter(F.col("at") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-6) + 1)
     held = held.join(members.select(F.col("a").alias("m"), "c"), F.col("a") == F.col("m")).select("a", "n", "h", "at", "c")
     held = materialize(held, "rarest")
@@ -238,12 +238,13 @@ def classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
     """__rid, doc_id, class_id, first (is it the first of its class) for each of the rows, which have __rid."""
     tune(rows.sparkSession)
     known = materialize(_sketches(rows, doc_id, text), "sketches")
-    copies = materialize(known.groupBy("e1", "e2").agg(F.min(F.struct(*[F.col("__id").isNull().alias("null"), "__id", "__rid", "n", "keys"])).alias("r")).select("e1", "e2", F.col("r.__rid").alias("rep"), F.col("r.__id").alias("rep_id"), F.col("r.n").alias("n"), F.col("r.keys").alias("keys")), "classes-of-copies")
+    copies = materialize(known.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*[F.col("__id").isNull().alias("null"), "__id", "__rid", "n", "keys"])).alias("r")).select("e1", "e2", "copies", F.col("r.__rid").alias("rep"), F.col("r.__id").alias("rep_id"), F.col("r.n").alias("n"), F.col("r.keys").alias("keys")), "classes-of-copies")
     entries = copies.select(F.col("rep").alias("a"), "n", F.explode("keys").alias("key"))
-    met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumnRenamed("key", "k")
-    entries = materialize(entries.join(met, F.col("key") == F.col("k")).drop("k"), "buckets")
+    total = entries.count()
+    met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("n_key", F.col("size"))
+    entries = materialize(join_heavy(entries, met, ["key"], "n_key", total), "buckets")
     score = entries.groupBy("a").agg(F.sum("size").alias("score")).withColumnRenamed("a", "s")
-    entries = entries.join(score, F.col("a") == F.col("s")).select("a", "n", "key", "score")
+    entries = entries.join(score, F.col("a") == F.col("s")).select("a", "n", "key", "score", "size")
     short = copies.filter(F.col("n").between(1, SHORT)).select(F.col("rep").alias("a"))
     texts = rows.select("__rid", F.col(text).cast("string").alias("__text")).join(entries.select("a").union(short).distinct(), F.col("__rid") == F.col("a"), "left_semi")
     texts = materialize(texts, "candidates")
@@ -252,8 +253,9 @@ def classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
     for r in range(rounds):
         # the next centre is the best member that was none yet; in the last rounds, the best that is left
         pool = entries.join(centres, (F.col("key") == F.col("ck")) & (F.col("a") == F.col("cb")), "left_anti") if 0 < r < rounds - 2 else left
-        centre = pool.groupBy("key").agg(F.max(F.struct("score", "a", "n")).alias("c")).select(F.col("key").alias("k"), F.col("c.a").alias("b"), F.col("c.n").alias("nb"))
-        against = materialize(left.join(centre, F.col("key") == F.col("k")).select("a", "b", "n", "nb", "key", "score"), "against")
+        centre = pool.groupBy("key").agg(F.max(F.struct("score", "a", "n")).alias("c"), F.max("size").alias("held")).select("key", F.col("c.a").alias("b"), F.col("c.n").alias("nb"), "held")
+        centre = materialize(centre, "centres")
+        against = materialize(join_heavy(left, centre, ["key"], "held", total).select("a", "b", "n", "nb", "key", "score", "size"), "against")
         led = against.select(F.col("key").alias("ck"), F.col("b").alias("cb")).distinct()
         centres = led if centres is None else centres.union(led)
         pairs = against.filter((F.col("a") != F.col("b")) & (F.least("n", "nb") >= SIMILARITY * F.greatest("n", "nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -263,22 +265,22 @@ def classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
         tried = pairs if tried is None else tried.union(pairs)
         near = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
         near = near.union(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        left = against.filter("a <> b").join(near, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti").select("a", "n", "key", "score")
+        left = against.filter("a <> b").join(near, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti").select("a", "n", "key", "score", "size")
         left = materialize(left, "left")
         if left.isEmpty():
             break
     joined = components(links, "a", "b")
     short = short.join(joined, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("c"))
-    members = materialize(_open(entries, joined).union(short).distinct(), "open")
+    members = materialize(_open(entries, joined, total).union(short).distinct(), "open")
     if not members.isEmpty():
         pairs = materialize(_partners(texts, members).join(tried, ["a", "b"], "left_anti"), "partners")
         joined = components(links.union(materialize(_verified(pairs, texts), "links")), "a", "b")
-    members = copies.select("e1", "e2", "rep", "rep_id").join(joined, F.col("rep") == F.col("node"), "left")
-    members = members.select("e1", "e2", F.coalesce("root", "rep").alias("root"), "rep", "rep_id")
+    members = copies.select("e1", "e2", "copies", "rep", "rep_id").join(joined, F.col("rep") == F.col("node"), "left")
+    members = materialize(members.select("e1", "e2", "copies", F.coalesce("root", "rep").alias("root"), "rep", "rep_id"), "members")
     order = F.struct(F.col("rep_id").isNull().alias("null"), F.col("rep_id"), F.col("rep"))
-    named = members.groupBy("root").agg(F.min(order).alias("head")).select(F.col("root").alias("of"), "head")
-    members = members.join(named, F.col("root") == F.col("of")).select(F.col("e1").alias("m1"), F.col("e2").alias("m2"), F.col("head.rep_id").alias("class_id"), F.col("head.rep").alias("head_rid"))
-    out = known.select("__rid", "__id", "e1", "e2").join(members, (F.col("e1") == F.col("m1")) & (F.col("e2") == F.col("m2")))
+    named = members.groupBy("root").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("size"))
+    members = join_heavy(members, named, ["root"], "size", members.count()).select("e1", "e2", "copies", F.col("head.rep_id").alias("class_id"), F.col("head.rep").alias("head_rid"))
+    out = join_heavy(known.select("__rid", "__id", "e1", "e2"), materialize(members, "named"), ["e1", "e2"], "copies", known.count())
     return out.select("__rid", F.col("__id").alias("doc_id"), "class_id", (F.col("__rid") == F.col("head_rid")).alias("first"))
 
 

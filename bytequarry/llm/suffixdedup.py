@@ -12,8 +12,10 @@ Every byte that a LENGTH-byte string covers which also starts elsewhere (in any
    are repeated windows.
 4. Removal. The covered ranges go back to their documents.
 
-An anchor with more than HOT occurrences does not meet in one task: its windows are compared by 128-bit hashes in
-partial aggregates instead, with the same result.
+An anchor with more than DEALT different contexts is too much for a task. Its windows are divided by their place
+against the anchor, in halves: windows of one half share bytes of the context beyond the anchor, whose hash is part of
+the new key, so equal windows stay together. What is still too much is halved again; at the latest a half is one
+window, and all of its contexts are equal. Steps 2 to 4 go on as before.
 
 Defined results: null and empty text have no bytes; equal rows remove each other's strings; an empty table gives an
 empty result. Only the id and text columns are read.
@@ -22,18 +24,19 @@ empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .base import map_text, record, text_buffer, tune, with_row_id
-from .words import mix, range_hash, window_hash
+from .base import join_heavy, map_text, materialize, record, text_buffer, tune, with_row_id
+from .words import range_hash, window_hash
 
 LENGTH, K = 200, 16
-HOT = 100_000
+#: Different contexts of one anchor that a task sorts.
+DEALT = 4000
 #: Bytes of distinct contexts that a task sorts at once, beyond one anchor's.
 CHUNK = 1 << 20
 
@@ -51,8 +54,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows: row, hash, first and last window that each owns (from the row's start)."""
-    none = (np.zeros(0, np.int64),) * 4
+    """Anchors of all windows: row, hash, first and last window that each owns, its place (from the row's start)."""
+    none = (np.zeros(0, np.int64),) * 5
     if len(buf) < LENGTH:
         return none
     hashes = window_hash(buf, K)
@@ -73,7 +76,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
     row = np.searchsorted(offs, window[first], "right") - 1
-    return row, hashes[owner[first]], window[first] - offs[row], window[last] - offs[row]
+    return row, hashes[owner[first]], window[first] - offs[row], window[last] - offs[row], owner[first] - offs[row]
 
 
 # --- suffix sorting ----------------------------------------------------------------------------------------------
@@ -189,22 +192,22 @@ def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 # --- plan --------------------------------------------------------------------------------------------------------
 def _anchor_rows(rows: DataFrame) -> DataFrame:
-    """rid, anchor h, hash c of its context, first and last window."""
+    """rid, anchor h, hash c of its context, first and last window, the anchor's place after the first."""
 
     def kernel():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             buf, offs = text_buffer(part.column("__text"))
-            row, h, lo, hi = anchors(buf, offs)
+            row, h, lo, hi, at = anchors(buf, offs)
             c = range_hash(buf, offs[row] + lo, offs[row] + hi + LENGTH) if len(row) else np.zeros(0, np.uint64)
-            return record(rid=(part.column("__rid").take(pa.array(row)), None), h=(h.astype(np.uint64).view(np.int64), pa.int64()), c=(c.view(np.int64), pa.int64()), lo=(lo, pa.int32()), hi=(hi, pa.int32()))
+            return record(rid=(part.column("__rid").take(pa.array(row)), None), h=(h.astype(np.uint64).view(np.int64), pa.int64()), c=(c.view(np.int64), pa.int64()), lo=(lo, pa.int32()), hi=(hi, pa.int32()), at=(at - lo, pa.int32()))
 
         return work
 
-    return map_text(rows.select("__rid", "__text"), "__text", kernel, "rid bigint, h bigint, c bigint, lo int, hi int")
+    return map_text(rows.select("__rid", "__text"), "__text", kernel, "rid bigint, h bigint, c bigint, lo int, hi int, at int")
 
 
-def _contexts(met: DataFrame, hot: bool) -> DataFrame:
-    """Of documents with their anchors (`owned`): the contexts that must be sorted, or every window of hot anchors."""
+def _contexts(met: DataFrame) -> DataFrame:
+    """Of documents with their anchors (`owned`): the contexts that must be sorted."""
 
     def kernel():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -212,24 +215,67 @@ def _contexts(met: DataFrame, hot: bool) -> DataFrame:
             owned = part.column("owned")
             flat = owned.flatten()
             row = np.repeat(np.arange(part.num_rows), np.diff(owned.offsets.to_numpy()))
-            use = flat.field("hot" if hot else "sort").to_numpy(zero_copy_only=False)
+            use = flat.field("sort").to_numpy(zero_copy_only=False)
             row, flat = row[use], flat.filter(pa.array(use))
             lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
-            rid = part.column("__rid").take(pa.array(row))
-            if not hot:
-                raw = buf.tobytes()
-                contexts = pa.array([raw[x:y] for x, y in zip((offs[row] + lo).tolist(), (offs[row] + hi + LENGTH).tolist())], pa.binary())
-                return record(rid=(rid, None), h=(flat.field("h"), None), lo=(lo, pa.int32()), whole=(flat.field("whole"), None), context=(contexts, None))
-            count = (hi - lo + 1).astype(np.int64)
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = np.repeat(offs[row] + lo, count) + inner
-            w1 = window_hash(buf, LENGTH)[start] if len(start) else np.zeros(0, np.uint64)
-            w2 = window_hash(buf ^ 0x55, LENGTH)[start] + mix(w1) if len(start) else w1
-            return record(rid=(rid.take(pa.array(np.repeat(np.arange(len(row)), count))), None), lo=(np.repeat(lo, count) + inner, pa.int32()), w1=(w1.view(np.int64), pa.int64()), w2=(w2.view(np.int64), pa.int64()))
+            raw = buf.tobytes()
+            contexts = pa.array([raw[x:y] for x, y in zip((offs[row] + lo).tolist(), (offs[row] + hi + LENGTH).tolist())], pa.binary())
+            return record(rid=(part.column("__rid").take(pa.array(row)), None), lo=(lo, pa.int32()), **{c: (flat.field(c), None) for c in ("h", "at", "whole", "kinds")}, context=(contexts, None))
 
         return work
 
-    return map_text(met, "__text", kernel, "rid bigint, lo int, w1 bigint, w2 bigint" if hot else "rid bigint, h bigint, lo int, whole boolean, context binary")
+    return map_text(met, "__text", kernel, "rid bigint, lo int, h bigint, at int, whole boolean, kinds bigint, context binary")
+
+
+def _halves(batches):
+    """Each context's windows in the two halves of the places `first` to `last` against the anchor."""
+    for batch in batches:
+        out = {c: [] for c in ("rid", "lo", "h", "c", "at", "whole", "first", "last", "context")}
+        for rid, lo, h, at, whole, first, last, context in zip(*(batch.column(x).to_pylist() for x in ("rid", "lo", "h", "at", "whole", "first", "last", "context"))):
+            middle = (first + last) // 2
+            for a, b in ((first, middle), (middle + 1, last)):
+                x, y = max(0, at + a), min(len(context) - LENGTH, at + b)  # of the context's own windows
+                if a > b or x > y:
+                    continue
+                shared = context[at + b : at + a + LENGTH]  # what each window from a to b holds
+                digest = hashlib.blake2b(shared, digest_size=8, key=f"{h}:{a}".encode()).digest()
+                own = context[x : y + LENGTH]
+                values = (rid, lo + x, int.from_bytes(digest, "little", signed=True), int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True), at - x, whole, a, b, own)
+                for c, v in zip(out, values):
+                    out[c].append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+        yield record(**{c: (v, k) for (c, v), k in zip(out.items(), kinds)})
+
+
+def _compared(found: DataFrame) -> DataFrame:
+    """Of (h, c, rid, lo, ...): whole, where several have this context, kinds, the number of the anchor's different
+    contexts, and sort, at one row of each. Only what is one of these is left. `found` comes from a table."""
+    kinds = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "lo")).alias("head"))
+    kinds = materialize(kinds, "kinds")
+    many = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("kinds"))
+    kinds = join_heavy(kinds, many, ["h"], "size", kinds.count()).filter("copies > 1 or kinds > 1").withColumn("size", F.col("copies"))
+    out = join_heavy(found, materialize(kinds, "kinds"), ["h", "c"], "size", found.count())
+    out = out.withColumn("copied", F.col("copies") > 1).withColumn("sort", (F.col("kinds") > 1) & (F.struct("rid", "lo") == F.col("head")))
+    return out.filter("copied or sort").drop("copies", "head")
+
+
+def _dealt(contexts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts of anchors that a task can sort, and the ranges (rid, first, end) that were found on the way."""
+    heavy = contexts.filter(F.col("kinds") > DEALT)
+    if heavy.isEmpty():
+        return contexts, None
+    ready, found = [contexts.filter(F.col("kinds") <= DEALT)], []
+    heavy = heavy.withColumn("first", F.lit(K - LENGTH)).withColumn("last", F.lit(0))
+    columns = ["rid", "lo", "h", "at", "whole", "first", "last", "context"]
+    while not heavy.isEmpty():
+        halves = heavy.select(*columns).mapInArrow(_halves, "rid bigint, lo int, h bigint, c bigint, at int, whole boolean, first int, last int, context binary")
+        known = materialize(_compared(materialize(halves, "halves")), "compared")
+        found.append(known.filter("copied and not whole").select("rid", F.col("lo").alias("first"), (F.col("lo") + F.length("context")).alias("end")))
+        known = known.filter("sort").withColumn("whole", F.col("whole") | F.col("copied"))
+        ready.append(known.filter(F.col("kinds") <= DEALT).select(*contexts.columns))
+        heavy = known.filter(F.col("kinds") > DEALT)
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
+    return union(ready), union(found)
 
 
 def _sorted(batches):
@@ -261,24 +307,18 @@ def _sorted(batches):
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """The rows (__rid, __id, __text) with __gone: the byte ranges (first, end) of repeated strings, or null."""
     tune(rows.sparkSession)
-    found = _anchor_rows(rows)
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("k"), "n")
-    met = found.join(shared, F.col("h") == F.col("k")).drop("k").withColumn("hot", F.col("n") > HOT)
-    # an anchor's occurrences are together now, those of a hot one by document
-    met = met.withColumn("salt", F.when(F.col("hot"), F.col("rid")))
-    same = Window.partitionBy("h", "salt", "c")
-    met = met.withColumn("copies", F.count(F.lit(1)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("rid", "lo")))
-    met = met.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("h", "salt")))
-    met = met.withColumn("whole", ~F.col("hot") & (F.col("copies") > 1)).withColumn("sort", ~F.col("hot") & (F.col("nth") == 1) & (F.col("kinds") > 1))
-    met = met.filter("whole or sort or hot").select("rid", F.struct(F.when(F.col("sort"), F.col("h")).alias("h"), "lo", "hi", "whole", "sort", "hot").alias("o"))
+    found = materialize(_anchor_rows(rows), "anchors")
+    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = materialize(join_heavy(found, shared, ["h"], "size", found.count()), "shared-anchors")
+    met = _compared(met).select("rid", F.struct(F.when(F.col("sort"), F.col("h")).alias("h"), "lo", "hi", "at", F.col("copied").alias("whole"), "sort", "kinds").alias("o"))
     joined = rows.join(met.groupBy("rid").agg(F.collect_list("o").alias("owned")), F.col("__rid") == F.col("rid"), "left").drop("rid")
     # the same columns as in the result, so that the texts are shuffled once
     some = joined.filter("owned is not null").select("__rid", "__id", "__text", "owned")
-    parted = _contexts(some, False).repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "rid bigint, first int, end int")
-    windows = _contexts(some.filter(F.exists("owned", lambda o: o["hot"])), True)
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("w1").alias("k1"), F.col("w2").alias("k2"))
-    frequent = windows.join(twice, (F.col("w1") == F.col("k1")) & (F.col("w2") == F.col("k2"))).select("rid", F.col("lo").alias("first"), (F.col("lo") + LENGTH).alias("end"))
-    partial = parted.union(frequent).groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
+    contexts, halved = _dealt(materialize(_contexts(some), "contexts"))
+    partial = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "rid bigint, first int, end int")
+    if halved is not None:
+        partial = partial.union(halved)
+    partial = partial.groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
     whole = F.transform(F.filter("owned", lambda o: o["whole"]), lambda o: F.struct(o["lo"].alias("first"), (o["hi"] + LENGTH).alias("end")))
     none = F.array().cast("array<struct<first:int,end:int>>")
     return joined.join(partial, F.col("__rid") == F.col("rid"), "left").select("__rid", "__id", "__text", F.concat(F.coalesce(whole, none), F.coalesce("parts", none)).alias("__gone"))

@@ -491,14 +491,24 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffixdedup.HOT, 2])
-def test_suffix_dedup(spark, sf_dir, corpus, hot, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "HOT", hot)
+@pytest.mark.parametrize("dealt", [suffixdedup.DEALT, 1])
+def test_suffix_dedup(spark, sf_dir, corpus, dealt, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "DEALT", dealt)
     got = by_id(queries.op6_suffix_dedup(spark, sf_dir))
     for (d, *_), want in zip(corpus, removed([t for _, t, *_ in corpus])):
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == want
 
 
+@pytest.mark.parametrize("dealt", [suffixdedup.DEALT, 3])
+def test_suffix_dedup_passage_between_varied_words(spark, dealt, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "DEALT", dealt)
+    r = random.Random(8)
+    own = lambda: " ".join(r.choice(edge.WORDS) for _ in range(60))
+    texts = [f"{own()} {edge.PLAIN} {own()}" for _ in range(60)] + [edge.PLAIN[k : k + 260] for k in range(0, 60, 7)]
+    got = by_id(suffixdedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(len(texts))] == removed(texts)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=60), st.sampled_from([1, 5, 9, 30, 200]))
 def test_suffix_ranks(symbols, needed):
