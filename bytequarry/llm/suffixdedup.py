@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .base import join_heavy, map_text, materialize, record, text_buffer, tune, with_row_id
 from .words import range_hash, window_hash
 
-LENGTH, K = 200, 16
+LENGTH, K = 200, 48
 #: Different contexts of one anchor that a task sorts.
 DEALT = 4000
 #: Bytes of distinct contexts that a task sorts at once, beyond one anchor's.
