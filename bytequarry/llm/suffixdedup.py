@@ -36,9 +36,9 @@ from .words import range_hash, window_hash
 
 LENGTH, K = 200, 48
 #: Different contexts of one anchor that a task sorts.
-DEALT = 4000
+DEALT = 2000
 #: Bytes of distinct contexts that a task sorts at once, beyond one anchor's.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 # --- anchors -----------------------------------------------------------------------------------------------------
