@@ -3,11 +3,16 @@
 Words are lower-cased runs of ASCII letters, digits and non-ASCII bytes. The automaton of all items is streamed
 over each document; at every word it knows the longest suffix read that occurs in some item. A match of `window`
 words or more, or of a whole item that is shorter, is a hit. Only runs of words that all occur in the benchmark are
-streamed: any other word sends the automaton back to its root, so nothing is lost.
+streamed: any other word sends the automaton back to its root, so nothing is lost. Runs are streamed side by side, a
+word of each at a time, in pieces that overlap by `window` - 1 words.
+
+The automaton is a handful of arrays. A benchmark of more than BLOCK_WORDS words makes several, of at most that many
+words each (longer items are cut, the pieces overlapping); a task reads them one after the other for every part of
+its documents, so its memory holds one, and its time grows in proportion to their number.
 
 Defined results: null or empty text has no words and no hits; an item without words has no window; equal rows are
-judged alike, each on its own; an empty benchmark leaves every document clean. Only the id and text columns are
-read, so other columns can't clash.
+judged alike, each on its own; an empty benchmark leaves every document clean. Other columns than the id and the text
+are carried as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,51 +21,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .base import map_text, record, text_buffer
-from .words import ALNUM, ALNUM_MAP, Words, text_hash
+from .base import column, map_text, record, text_buffer
+from .words import ALNUM, ALNUM_MAP, Words, range_hash, same_bytes
 
 WINDOW = 10
-#: Words of items in one automaton (some 100 MB); a larger benchmark takes several, one after the other.
-BLOCK_WORDS = 200_000
+#: Words of items in one automaton; its arrays take some 100 bytes a word, which bounds what is broadcast.
+BLOCK_WORDS = 400_000
+#: Words of a run that are streamed as one piece.
+PIECE = 128
 
 
-class Automaton:
-    """Generalised suffix automaton over word ids, with the items that each state's windows belong to."""
+class _Builder:
+    """A generalised suffix automaton while words are added."""
 
-    def __init__(self, items: list[list[bytes]], window: int):
-        self.window = window
-        self.ids: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends = []
-        for words in items:
-            at, path = 0, []
-            for w in words:
-                at = self._extend(at, self.ids.setdefault(w, len(self.ids)))
-                path.append(at)
-            ends.append(len(path))
-        # states are split while items are added, so the items are walked again when all are in
-        self.items: dict[int, set[int]] = {}
-        self.short: dict[int, list[tuple[int, int]]] = {}
-        self.shortest = window
-        for k, words in enumerate(items):
-            at = 0
-            for i, w in enumerate(words):
-                at = self.next[at][self.ids[w]]
-                if i + 1 >= window:
-                    self.items.setdefault(self._at(at, window), set()).add(k)
-            if 0 < len(words) < window:
-                self.short.setdefault(self._at(at, len(words)), []).append((len(words), k))
-                self.shortest = min(self.shortest, len(words))
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[[text_hash(w) >> 44 for w in self.ids]] = True
-
-    def _at(self, state: int, length: int) -> int:
-        """The state of the suffix of that length of what `state` has read."""
-        while self.length[self.link[state]] >= length:
-            state = self.link[state]
-        return state
 
     def _state(self, length: int, link: int, after: dict[int, int]) -> int:
         self.length.append(length)
@@ -76,7 +54,7 @@ class Automaton:
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, c: int) -> int:
+    def extend(self, last: int, c: int) -> int:
         q = self.next[last].get(c)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
@@ -89,53 +67,177 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def stream(self, words: list[bytes]):
-        """(position of the last word, length, item) of each longest hit that ends there."""
-        at = length = 0
-        for i, w in enumerate(words):
-            c = self.ids.get(w)
-            if c is None:
-                at = length = 0
-                continue
-            while at and c not in self.next[at]:
-                at = self.link[at]
-                length = self.length[at]
-            if c in self.next[at]:
-                at, length = self.next[at][c], length + 1
-            if length >= self.shortest:
-                if length >= self.window:
-                    yield i, self.window, self.items[self._at(at, self.window)]
-                s = at
-                while s > 0 and self.short:
-                    for m, k in self.short.get(s, ()):
-                        if m <= length:
-                            yield i, m, (k,)
-                    s = self.link[s]
+
+def _lists(of: dict[int, set], states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets by state, and the lists one after the other."""
+    sizes = np.zeros(states + 1, np.int64)
+    for s, values in of.items():
+        sizes[s + 1] = len(values)
+    flat = [sorted(of[s]) for s in sorted(of)]
+    return np.cumsum(sizes), np.array([v for values in flat for v in values], np.int64)
+
+
+class Automaton:
+    """The automaton of items (lists of words), as arrays; each state's windows know their items."""
+
+    def __init__(self, items: list[list[bytes]], window: int):
+        self.window, self.shortest = window, window
+        ids: dict[bytes, int] = {}
+        made = _Builder()
+        for words in items:
+            at = 0
+            for w in words:
+                at = made.extend(at, ids.setdefault(w, len(ids)))
+        n = len(made.length)
+        self.length, self.link = np.array(made.length, np.int32), np.array(made.link, np.int32)
+        # the words, found by hash and held against their bytes
+        vocabulary = list(ids)
+        ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64)
+        self.raw = np.frombuffer(b"".join(vocabulary), np.uint8)
+        starts = ends - np.array([len(w) for w in vocabulary], np.int64)
+        hashes = range_hash(self.raw, starts, ends)
+        order = np.argsort(hashes)
+        self.hashes, self.word, self.starts, self.ends = hashes[order], order, starts, ends
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        # transitions, by state and word
+        self.width = max(1, len(ids))
+        state = np.repeat(np.arange(n), [len(x) for x in made.next])
+        key = state * self.width + np.array([c for x in made.next for c in x], np.int64)
+        order = np.argsort(key)
+        self.key, self.target = key[order], np.array([t for x in made.next for t in x.values()], np.int32)[order]
+        # states are split while items are added, so the items are walked again when all are in
+        found: dict[int, set] = {}
+        short: dict[int, set] = {}
+        for k, words in enumerate(items):
+            at = 0
+            for i, w in enumerate(words):
+                at = made.next[at][ids[w]]
+                if i + 1 >= window:
+                    found.setdefault(self._at(made, at, window), set()).add(k)
+            if 0 < len(words) < window:
+                short.setdefault(self._at(made, at, len(words)), set()).add(len(words) * len(items) + k)
+                self.shortest = min(self.shortest, len(words))
+        self.items, self.item_list = _lists(found, n)
+        self.short, self.short_list = _lists(short, n)
+        self.many = max(1, len(items))
+        # from each state, the state of its last `window` words, and the next one up the links with short items
+        self.whole, self.up = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for s in np.argsort(self.length, kind="stable")[1:].tolist():
+            p = made.link[s]
+            self.whole[s] = s if made.length[p] < window else self.whole[p]
+            self.up[s] = s if s in short else self.up[p]
+
+    @staticmethod
+    def _at(made: _Builder, state: int, length: int) -> int:
+        """The state of the suffix of that length of what `state` has read."""
+        while made.length[made.link[state]] >= length:
+            state = made.link[state]
+        return state
+
+    def ids(self, words: Words, low: np.ndarray) -> np.ndarray:
+        """Numbers of the words of a batch; -1 where no item holds the word."""
+        out = np.full(len(words.starts), -1)
+        if not len(self.hashes):
+            return out
+        maybe = np.flatnonzero(self.filter[(words.hash >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, words.hash[maybe]), len(self.hashes) - 1)
+        w = self.word[at]
+        size = words.ends[maybe] - words.starts[maybe]
+        live = np.flatnonzero((self.hashes[at] == words.hash[maybe]) & (size == self.ends[w] - self.starts[w]))
+        maybe, w = maybe[live], w[live]
+        right = same_bytes(low, words.starts[maybe], self.raw, self.starts[w], size[live])
+        out[maybe[right]] = w[right]
+        return out
+
+    def stream(self, ids: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, matched lengths and items of all hits, by the place of their last word; `doc` are the offsets of
+        the rows' words."""
+        edge = np.zeros(len(ids) + 1, bool)  # a run of known words begins or ends here
+        known = ids >= 0
+        edge[1:-1] = known[1:] != known[:-1]
+        edge[doc] = edge[0] = edge[-1] = True
+        at = np.flatnonzero(edge)
+        at, size = at[:-1], np.diff(at)
+        use = known[at] & (size >= self.shortest) if len(ids) else np.zeros(0, bool)
+        at, size = at[use], size[use]
+        # pieces of the runs
+        pieces = -(-size // PIECE)
+        inner = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        at, size = np.repeat(at, pieces), np.repeat(size, pieces)
+        first = np.maximum(inner - self.window + 1, 0)
+        start, size = at + first, np.minimum(inner + PIECE, size) - first
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        state, length = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
+        out = []
+        for t, n in enumerate(active.tolist()):
+            c = ids[start[:n] + t]
+            todo = np.arange(n)
+            while len(todo):
+                s = state[todo]
+                wanted = s * self.width + c[todo]
+                place = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+                there = self.key[place] == wanted
+                go = todo[there]
+                state[go] = self.target[place[there]]
+                length[go] += 1
+                back = todo[~there & (s > 0)]  # the root knows every word of an item
+                state[back] = self.link[state[back]]
+                length[back] = self.length[state[back]]
+                todo = back
+            hit = np.flatnonzero(length[:n] >= self.shortest)
+            if len(hit):
+                out += self._hits(start[hit] + t, state[hit], length[hit])
+        return out
+
+    def _hits(self, place: np.ndarray, state: np.ndarray, length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        out = []
+        full = length >= self.window
+        if full.any():
+            at = self.whole[state[full]].astype(np.int64)
+            n = self.items[at + 1] - self.items[at]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((np.repeat(place[full], n), np.full(n.sum(), self.window), self.item_list[np.repeat(self.items[at], n) + inner]))
+        at = self.up[state].astype(np.int64)
+        while len(live := np.flatnonzero(at > 0)):
+            place, length, at = place[live], length[live], at[live]
+            n = self.short[at + 1] - self.short[at]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            size, item = np.divmod(self.short_list[np.repeat(self.short[at], n) + inner], self.many)
+            fits = size <= np.repeat(length, n)
+            out.append((np.repeat(place, n)[fits], size[fits], item[fits]))
+            at = self.up[self.link[at]].astype(np.int64)
+        return out
 
 
 def automata(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int):
-    """The benchmark in blocks of bounded size: (ids of the items as strings, automaton)."""
+    """The benchmark in blocks of `block_words` words at most: (ids of the items as strings, automaton)."""
     ids, items, n = [], [], 0
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).toLocalIterator():
+    block_words = max(block_words, 2 * window)
+    for row in benchmark.select(column(item_id).cast("string").alias("i"), column(text).cast("string").alias("t")).toLocalIterator():
         buf, offs = text_buffer(pa.array([row.t], pa.string()))
         w, low = Words(buf, offs, ALNUM, hashed=False), ALNUM_MAP[buf].tobytes()
-        items.append([low[a:b] for a, b in zip(w.starts, w.ends)])
-        ids.append(row.i or "")
-        n += len(items[-1])
-        if n >= block_words:
-            yield ids, Automaton(items, window)
-            ids, items, n = [], [], 0
-    if items:
+        words = [low[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist())]
+        for k in range(0, max(1, len(words) - window + 1), block_words - window + 1):
+            part = words[k : k + block_words]
+            if items and n + len(part) > block_words:
+                yield ids, Automaton(items, window)
+                ids, items, n = [], [], 0
+            items.append(part)
+            ids.append(row.i or "")
+            n += len(part)
+    if n:
         yield ids, Automaton(items, window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None, cleaned: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, items (ids as strings) and, if asked for, the text without
-    its hit spans. `keep` names other columns of docs to carry along."""
+def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, cleaned: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_hit, items (ids as strings) and with `cleaned` the text without
+    its hit spans, and the row of docs as the struct __row."""
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in automata(benchmark, item_id, item_text, window, block_words)]
     many = len(blocks) > 1
-    keep = keep or []
 
     def kernel():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,27 +246,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             words = Words(buf, offs, ALNUM, ALNUM_MAP)
             hit = np.zeros(len(words.starts) + 1, np.int64)
             found: list[set[str]] = [set() for _ in range(n)]
-            low = ALNUM_MAP[buf].tobytes() if len(buf) else b""
+            low = ALNUM_MAP[buf]
             for b in blocks:
-                ids, auto = b.value
-                known = auto.filter[(words.hash >> np.uint64(44)).astype(np.int64)]
-                edge = np.zeros(len(known) + 1, bool)  # a run of known words begins or ends here
-                edge[1:-1] = known[1:] != known[:-1]
-                edge[0] = edge[-1] = True
-                edge[words.doc] = True
-                at = np.flatnonzero(edge)
-                at, to = at[:-1], at[1:]
-                use = known[at] & (to - at >= auto.shortest) if len(known) else np.zeros(0, bool)
-                for a, z in zip(at[use].tolist(), to[use].tolist()):
-                    run = [low[s:e] for s, e in zip(words.starts[a:z].tolist(), words.ends[a:z].tolist())]
-                    row = None
-                    for i, m, items in auto.stream(run):
-                        hit[a + i + 1 - m] += 1
-                        hit[a + i + 1] -= 1
-                        if row is None:
-                            row = int(np.searchsorted(words.doc, a, "right")) - 1
-                        found[row].update(ids[k] for k in items)
-                if many:
+                names, auto = b.value
+                for place, size, item in auto.stream(auto.ids(words, low), words.doc):
+                    np.add.at(hit, place + 1 - size, 1)
+                    np.add.at(hit, place + 1, -1)
+                    row = np.searchsorted(words.doc, place, "right") - 1
+                    for r, k in {*zip(row.tolist(), item.tolist())}:
+                        found[r].add(names[k])
+                if many:  # arrays are read again in no time
                     b.__dict__.pop("_value", None)
             covered = np.cumsum(hit[:-1]) > 0
             sums = np.concatenate([[0], np.cumsum(covered)])
@@ -180,16 +271,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
                         done = words.ends[run[-1]] - offs[r]
                     texts[r] = b"".join([*pieces, raw[done:]]).decode("utf-8", "replace")
                 out["cleaned"] = (texts, pa.string())
-            for c in keep:
-                out[f"__keep_{c}"] = (part.column(f"__keep_{c}"), None)
+                out["__row"] = (part.column("__row"), None)
             return record(**out)
 
         return work
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = f"doc_id {kinds[doc_id]}, n_words bigint, n_hit bigint, items array<string>" + ", cleaned string" * cleaned + "".join(f", `__keep_{c}` {kinds[c]}" for c in keep)
-    chosen = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
-    return map_text(chosen, "__text", kernel, schema)
+    chosen = [column(doc_id).alias("__id"), column(text).cast("string").alias("__text")]
+    rows = docs.select(*chosen, *([F.struct(*map(column, docs.columns)).alias("__row")] if cleaned else []))
+    fields = [StructField("doc_id", rows.schema["__id"].dataType), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))]
+    return map_text(rows, "__text", kernel, StructType(fields + ([StructField("cleaned", StringType()), rows.schema["__row"]] if cleaned else [])))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -201,11 +291,11 @@ def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", **how) -> DataFrame:
     """docs without the spans that occur in the benchmark. A document with more than `max_coverage` of its words
     in such spans goes; the others keep all their columns, with the text cut and `n_chars` counted again."""
-    keep = [c for c in docs.columns if c not in (doc_id, text)]
-    found = scan(docs, benchmark, doc_id=doc_id, text=text, keep=keep, cleaned=True, **how)
+    found = scan(docs, benchmark, doc_id=doc_id, text=text, cleaned=True, **how)
     kept = found.filter(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    length = F.when(F.col("n_hit") > 0, F.length("cleaned").cast(dict(docs.dtypes).get(n_chars, "bigint")))
-    columns = {doc_id: F.col("doc_id"), text: F.col("cleaned")} | {c: F.col(f"`__keep_{c}`") for c in keep}
+    columns = {c: F.col("__row")[c] for c in docs.columns}
     if n_chars in columns:
-        columns[n_chars] = F.coalesce(length, columns[n_chars])
+        length = F.length("cleaned").cast(docs.schema[n_chars].dataType)
+        columns[n_chars] = F.when(F.col("n_hit") > 0, length).otherwise(columns[n_chars])
+    columns[text] = F.when(F.col("n_hit") > 0, F.col("cleaned").cast(docs.schema[text].dataType)).otherwise(columns[text])
     return kept.select(*(columns[c].alias(c) for c in docs.columns))

@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from bytequarry.llm import base, decontaminate, graph, htmltext, licenses, linededup, nearduplicates, packing, pfor, pii, quality, queries, suffixdedup, tokens, words
@@ -296,14 +296,18 @@ def test_decontamination(spark, sf_dir, corpus, block):
     assert hits
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), max_size=8), max_size=5), st.lists(st.sampled_from("abcd"), max_size=30))
-def test_automaton(items, text):
+@settings(max_examples=120, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=8), max_size=5), st.lists(st.sampled_from("abcd"), max_size=30), st.sampled_from([3, decontaminate.PIECE]))
+def test_automaton(monkeypatch, items, text, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     auto = decontaminate.Automaton([[w.encode() for w in i] for i in items], 4)
     hit, found = set(), set()
-    for i, m, ks in auto.stream([w.encode() for w in text]):
-        hit.update(range(i - m + 1, i + 1))
-        found.update(ks)
+    buf, offs = base.text_buffer(pa.array([" ".join(text)]))
+    w = words.Words(buf, offs, words.ALNUM, words.ALNUM_MAP)
+    for places, sizes, ks in auto.stream(auto.ids(w, buf), w.doc):
+        for i, m in zip(places.tolist(), sizes.tolist()):
+            hit.update(range(i - m + 1, i + 1))
+        found.update(ks.tolist())
     want, owners = set(), set()
     for k, item in enumerate(items):
         size = min(4, len(item))
@@ -315,6 +319,13 @@ def test_automaton(items, text):
     assert (hit, found) == (want, owners)
 
 
+def test_decontamination_cuts_a_long_item(spark):
+    many = [f"q{k}" for k in range(3000)]
+    bench = spark.createDataFrame([(1, " ".join(many)), (2, "other words")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, " ".join(many[k : k + 14])) for k in range(0, 2980, 3)], "doc_id bigint, text string")
+    assert all(r.n_hit == r.n_words and r.n_items == 1 for r in decontaminate.report(docs, bench, block_words=100).collect())
+
+
 def test_decontamination_odd(spark):
     bench = spark.createDataFrame([(1, edge.PLAIN[:120]), (2, "short"), (3, None), (4, "")], "item_id bigint, text string")
     out = decontaminate.report(edge.table(spark), bench).collect()
