@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import join_heavy, materialize, with_row_id
+from .base import column, join_heavy, materialize, with_row_id
 
 MIN_CHARS = 60
 
@@ -66,9 +66,10 @@ def deleted_lines(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return gone.groupBy(F.col("__rid").alias("__rid2")).agg(F.collect_set("ln").alias("__gone"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
-    """docs with the lines gone and `n_chars` counted again; with `counts` also __n_lines and __n_removed."""
-    rows = with_row_id(docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")))
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = MIN_CHARS, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """docs with the lines gone and `n_chars` counted again; with `counts` also __n_lines and __n_removed; with
+    `drop_emptied` without the documents that have lost lines and have no text left."""
+    rows = with_row_id(docs.select(column(doc_id).alias("__id"), column(text).cast("string").alias("__text"), F.struct(*map(column, docs.columns)).alias("__row")))
     joined = rows.join(deleted_lines(rows, "__id", "__text", min_chars), F.col("__rid") == F.col("__rid2"), "left")
     joined = joined.withColumn("__lines", _lines(F.col("__text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
@@ -77,7 +78,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
     # __lines also serves __n_lines, so the optimizer does not move the split into the function below
     cut = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
     joined = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(cut))
-    columns = {c: F.col(f"__row.`{c}`") for c in docs.columns}
+    if drop_emptied:
+        joined = joined.filter((F.col("__n_removed") == 0) | (F.col("__text") != ""))
+    columns = {c: F.col("__row")[c] for c in docs.columns}
     columns[text] = F.col("__text")
     if n_chars in columns:
         columns[n_chars] = F.when(F.col("__gone").isNull(), columns[n_chars]).otherwise(F.length("__text").cast(dict(docs.dtypes)[n_chars]))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import join_heavy, map_text, materialize, record, text_buffer, tune, with_row_id
+from .base import column, join_heavy, map_text, materialize, record, text_buffer, tune, with_row_id
 from .graph import components
 from .quality import duplicates
 from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, window_valid, windows
@@ -291,7 +291,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class, the first by id."""
-    rows = with_row_id(docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__body"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")))
+    rows = with_row_id(docs.select(column(doc_id).alias("__doc"), column(text).alias("__body"), F.struct(*map(column, docs.columns)).alias("__row")))
     drop = classes(rows.select("__rid", F.col("__doc").alias("doc_id"), F.col("__body").alias("text"))).filter(~F.col("first")).select(F.col("__rid").alias("__drop"))
     left = rows.join(materialize(drop, "dropped"), F.col("__rid") == F.col("__drop"), "left_anti")
-    return left.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    return left.select(*(F.col("__row")[c].alias(c) for c in docs.columns))

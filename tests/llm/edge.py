@@ -2,7 +2,7 @@
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my nu xi omikron pi rho sigma tau ypsilon phi chi psi omega".split()
 PLAIN = " ".join(WORDS[(i * 7 + i // 5) % 24] + str(i) for i in range(60))
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, h int, rid int, n int, __rid int, __gone string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, h int, rid int, n int, __rid int, __gone string, `a.b` string, __row int, __text string"
 
 
 def rows():
@@ -20,7 +20,7 @@ def rows():
         (8, "short", "en", "a"),
         (9, "*** $$$ |||", "en", "a"),
     ]
-    return [(i, t, g, s, None if t is None else len(t), "x", 1, 2, 3, 4, "g") for i, t, g, s in out]
+    return [(i, t, g, s, None if t is None else len(t), "x", 1, 2, 3, 4, "g", "dot", 5, "t") for i, t, g, s in out]
 
 
 def table(spark):
