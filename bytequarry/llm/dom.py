@@ -1,7 +1,7 @@
 """A small HTML tree of block elements, and the features of its nodes.
 
 Only what text extraction needs is kept: block-level elements with their attribute words and the runs of text that
-stand directly in them. Ends of p, li, dt, dd, td, th, tr and option are implied as in HTML; scripts, styles and the
+stand directly in them; of inline elements only links are told apart. Ends of p, li, dt, dd, td, th, tr and option are implied as in HTML; scripts, styles and the
 head have no text; a tag that the page's end cuts off is dropped."""
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|itemprop|hidden|style)\s*
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button label".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes the open elements named here, up to the scope's border.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
@@ -49,10 +49,13 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones have the node of their block
+        # open blocks and links with their nodes (a link has that of its block), and the places of each tag in there
+        stack: list[tuple[str, int]] = [("html", 0)]
+        places: dict[str, list[int]] = {"html": [0]}
         pieces: list[str] = []
-        linked = links = at = 0
+        linked = at = 0
         node, in_head, size = 0, False, len(source)
+        links = places.setdefault("a", [])
 
         def flush():
             nonlocal linked
@@ -71,6 +74,22 @@ class Page:
                 if links:
                     linked += len(text)
 
+        def push(tag, of):
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, of))
+
+        def cut(to):
+            while len(stack) > to:
+                places[stack.pop()[0]].pop()
+
+        def last(tags):
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def close(names, border):
+            """Ends the elements of these names within the border; a row also ends the cell around it."""
+            while (k := last(names)) > last(border):
+                cut(k)
+
         while at < size:
             m = _TOKEN.search(source, at)
             if m is None:
@@ -82,8 +101,10 @@ class Page:
             if start:
                 tag, attrs = start.lower(), m[3] or m[6] or ""
                 if tag in RAW:
-                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-                    at = close.end() if close else size
+                    if tag == "svg" and (m[4] or attrs.rstrip().endswith("/")):
+                        continue
+                    ending = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+                    at = ending.end() if ending else size
                     continue
                 if tag == "head":
                     in_head = True
@@ -99,16 +120,15 @@ class Page:
                 if tag == "html":
                     continue
                 if tag not in BLOCKS:
-                    links += tag == "a"
-                    stack.append((tag, node))
+                    if tag == "a":
+                        push(tag, node)
                     continue
                 in_head = False
                 flush()
                 if tag in ENDS_P:
-                    self._close(stack, ("p",), ("button", "td", "th", "table"))
+                    close(("p",), ("button", "td", "th", "table"))
                 if tag in CLOSES:
-                    self._close(stack, *CLOSES[tag])
-                links = sum(t == "a" for t, _ in stack)
+                    close(*CLOSES[tag])
                 parent = stack[-1][1]
                 node = len(self.tags)
                 self.tags.append(tag)
@@ -121,41 +141,20 @@ class Page:
                         found += [a[1].lower()] if a[1].lower() == "hidden" else _PART.findall(value) if a[1].lower() != "style" or "none" in value or "hidden" in value else []
                     words = tuple(found)
                 self.words.append(words)
-                stack.append((tag, node))
+                push(tag, node)
             elif end:
                 tag = end.lower()
                 if tag == "head":
                     in_head = False
-                    continue
-                if tag not in BLOCKS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            links -= tag == "a"
-                            del stack[k]
-                            break
-                        if stack[k][0] in BLOCKS:
-                            break
-                    continue
-                if any(t == tag for t, _ in stack[1:]):
+                elif tag == "a":
+                    if stack[-1][0] == "a":
+                        cut(len(stack) - 1)
+                elif tag in BLOCKS and (k := last((tag,))):
                     flush()
-                    while len(stack) > 1 and stack.pop()[0] != tag:
-                        pass
-                    links = sum(t == "a" for t, _ in stack)
+                    cut(k)
                     node = stack[-1][1]
         flush()
 
-    @staticmethod
-    def _close(stack, names, border) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                # a row also ends the cell around it
-                if k > 1 and stack[-1][0] in names:
-                    continue
-                return
-            if stack[k][0] in border:
-                return
-
 
 N_FEATURES = len(KINDS) + 2 * len(GROUPS) + 18
 

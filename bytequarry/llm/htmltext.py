@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .base import map_text, record
 from .dom import Page, features
 
-TRAIN_PAGES, TREES, DEPTH, RATE, BINS = 300, 40, 4, 0.3, 32
+TRAIN_PAGES, TREES, DEPTH, RATE, BINS = 400, 40, 4, 0.3, 32
 
 
 # --- generated pages ---------------------------------------------------------------------------------------------
@@ -82,6 +82,12 @@ def generated(r: random.Random) -> str:
             return '<table data-k="1">' + "".join(f'<tr data-k="1"><td data-k="1">{_words(r, 2)}</td><td data-k="1">{_words(r, 4)}</td></tr>' for _ in range(3)) + "</table>"
         return f'<div data-k="1"><p data-k="1">{_paragraph(r)}</p></div>'
 
+    if r.random() < 0.08:  # hardly any markup: text and line ends in one element, or in the body itself
+        text = r.choice(("<br>", "<br><br>", " ")).join(r.choice(("{}", "<span>{}</span>")).format(_paragraph(r)) for _ in range(r.choice((1, 2, 4, 9))))
+        around = [_boiler(r, k) if r.random() < 0.3 else "" for k in ("nav", "footer")]
+        if r.random() < 0.5:
+            return f'<html><body data-k="1">{around[0]}{text}{around[1]}</body></html>'
+        return f'<html><body>{around[0]}<div data-k="1">{text}</div>{around[1]}</body></html>'
     inner = [block() for _ in range(r.choice((1, 2, 3, 6, 12, 25)))]
     for kind in ("ad", "form", "side", "notice"):
         if r.random() < 0.12:
