@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .base import column, map_text, record, text_buffer
-from .words import ALNUM, ALNUM_MAP, Words, range_hash, same_bytes
+from .words import ALNUM, ALNUM_MAP, Lexicon, Words
 
 WINDOW = 10
 #: Words of items in one automaton; its arrays take some 100 bytes a word, which bounds what is broadcast.
@@ -90,16 +90,7 @@ class Automaton:
                 at = made.extend(at, ids.setdefault(w, len(ids)))
         n = len(made.length)
         self.length, self.link = np.array(made.length, np.int32), np.array(made.link, np.int32)
-        # the words, found by hash and held against their bytes
-        vocabulary = list(ids)
-        ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64)
-        self.raw = np.frombuffer(b"".join(vocabulary), np.uint8)
-        starts = ends - np.array([len(w) for w in vocabulary], np.int64)
-        hashes = range_hash(self.raw, starts, ends)
-        order = np.argsort(hashes)
-        self.hashes, self.word, self.starts, self.ends = hashes[order], order, starts, ends
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.lexicon = Lexicon(list(ids))
         # transitions, by state and word
         self.width = max(1, len(ids))
         state = np.repeat(np.arange(n), [len(x) for x in made.next])
@@ -135,21 +126,6 @@ class Automaton:
             state = made.link[state]
         return state
 
-    def ids(self, words: Words, low: np.ndarray) -> np.ndarray:
-        """Numbers of the words of a batch; -1 where no item holds the word."""
-        out = np.full(len(words.starts), -1)
-        if not len(self.hashes):
-            return out
-        maybe = np.flatnonzero(self.filter[(words.hash >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, words.hash[maybe]), len(self.hashes) - 1)
-        w = self.word[at]
-        size = words.ends[maybe] - words.starts[maybe]
-        live = np.flatnonzero((self.hashes[at] == words.hash[maybe]) & (size == self.ends[w] - self.starts[w]))
-        maybe, w = maybe[live], w[live]
-        right = same_bytes(low, words.starts[maybe], self.raw, self.starts[w], size[live])
-        out[maybe[right]] = w[right]
-        return out
-
     def stream(self, ids: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places, matched lengths and items of all hits, by the place of their last word; `doc` are the offsets of
         the rows' words."""
@@ -249,7 +225,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             low = ALNUM_MAP[buf]
             for b in blocks:
                 names, auto = b.value
-                for place, size, item in auto.stream(auto.ids(words, low), words.doc):
+                for place, size, item in auto.stream(auto.lexicon.find(words, low), words.doc):
                     np.add.at(hit, place + 1 - size, 1)
                     np.add.at(hit, place + 1, -1)
                     row = np.searchsorted(words.doc, place, "right") - 1

@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds anchors (at-signs, digits, plus signs, schemes, identifier cues) in the whole text;
 local parsers expand each anchor to its boundaries and validate it. The base kinds follow fixed patterns, leftmost
 and not overlapping within a kind: email, ip, card and phone. Added kinds: iban (mod 97), account (a cue, then 6 to
-17 digits), ssn (a cue, then three groups) and login (user information in a URL).
+17 digits), ssn (a cue, then three groups), login (user information in a URL) and secret (a cue, an equals sign or
+colon, and a value with letters and digits; keys of known forms; private key blocks).
 
 Defined results: null or empty text has no spans; equal rows are treated alike; an empty table gives an empty
 result. Spans are in code points, the end exclusive. Only the id and text columns are read.
@@ -22,8 +23,12 @@ from pyspark.sql import functions as F
 from .base import map_text, record, text_buffer
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("account", "iban", "login", "ssn")
+ADDED_KINDS = ("account", "iban", "login", "secret", "ssn")
 CUES = {"account": ("account", "Account", "ACCOUNT", "acct", "Acct", "Konto", "konto", "cuenta", "compte"), "iban": ("iban", "IBAN", "Iban"), "ssn": ("ssn", "SSN", "social security", "Social Security")}
+_SECRETS = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "client_key", "private_key", "bearer")
+CUES["secret"] = tuple(f(w) for w in _SECRETS for f in (str.lower, str.upper, str.capitalize))
+#: How keys of known kinds begin.
+KEYS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "-----BEGIN ")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,6 +38,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"(?:\x20(?:number|no|nr))?[.:#\x20]{1,3}([0-9]{6,17})(?![0-9])")
 _IBAN = re.compile(r"[.:\x20]{0,2}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?:\x20number)?[.:#\x20]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+_SECRET = re.compile(r"(?:[A-Za-z0-9_]{0,20}[\"']?\s{0,3}(?:=>|:=|[:=])|(?<=[Bb]earer)|(?<=BEARER))\s{0,3}[\"']?((?=[^\s\"']{0,200}[0-9])(?=[^\s\"']{0,200}[A-Za-z])[A-Za-z0-9_+/.~=!@#$%^&*-]{8,400})")
+_KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|AIza[0-9A-Za-z_-]{35}|gh[pous]_[0-9A-Za-z]{36,255}|github_pat_[0-9A-Za-z_]{22,255}|glpat-[0-9A-Za-z_-]{20,64}|sk-[0-9A-Za-z_-]{20,200}|sk_live_[0-9A-Za-z]{16,100}|xox[bp]-[0-9A-Za-z-]{20,200}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,30}PRIVATE KEY-----")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@")
 _DIGITS = frozenset("0123456789")
 
@@ -65,6 +72,8 @@ def anchors():
     for kind, words in CUES.items():
         for w in words:
             auto.add_word(w, (kind, len(w)))
+    for w in KEYS:
+        auto.add_word(w, ("key", len(w)))
     auto.make_automaton()
     return auto
 
@@ -72,7 +81,7 @@ def anchors():
 def find(text: str, auto) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind, by start."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
-    done = {"email": 0, "ip": 0, "card": 0, "phone": 0}
+    done = {"email": 0, "ip": 0, "card": 0, "phone": 0, "secret": 0}
     digit_before = -2
     for end, (kind, length) in auto.iter(text):
         at = end - length + 1
@@ -104,6 +113,14 @@ def find(text: str, auto) -> dict[str, list[tuple[int, int]]]:
         elif kind == "scheme":
             if m := _LOGIN.match(text, end + 1):
                 spans["login"].append(m.span())
+        elif kind == "secret":
+            if at >= done["secret"] and (m := _SECRET.match(text, end + 1)):
+                spans["secret"].append(m.span(1))
+                done["secret"] = m.end()
+        elif kind == "key":
+            if at >= done["secret"] and (at == 0 or not text[at - 1].isalnum()) and (m := _KEY.match(text, at)):
+                spans["secret"].append(m.span())
+                done["secret"] = m.end()
         elif kind == "account":
             if m := _ACCOUNT.match(text, end + 1):
                 spans["account"].append(m.span(1))
@@ -125,7 +142,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", redacted:
     def kernel():
         auto = anchors()
         wanted = np.zeros(256, bool)
-        wanted[[ord(c) for c in "@0123456789"]] = True  # each kind needs one of them
+        wanted[[ord(c) for c in "@0123456789"]] = True  # each kind needs one of them (a private key without digits is none)
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             column = part.column("__text")

@@ -138,6 +138,36 @@ class Words:
         return np.repeat(np.arange(len(self.doc) - 1), self.counts)
 
 
+class Lexicon:
+    """Numbers of a fixed list of different words, found by hash and held against their bytes."""
+
+    def __init__(self, words: list[bytes]):
+        self.raw = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        hashes = range_hash(self.raw, self.starts, self.ends)
+        self.word = np.argsort(hashes)
+        self.hashes = hashes[self.word]
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, words: Words, low: np.ndarray) -> np.ndarray:
+        """The number of each word of a batch, whose bytes `low` holds as they were hashed; -1 for other words."""
+        out = np.full(len(words.starts), -1)
+        if not len(self.hashes):
+            return out
+        maybe = np.flatnonzero(self.filter[(words.hash >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, words.hash[maybe]), len(self.hashes) - 1)
+        w = self.word[at]
+        size = words.ends[maybe] - words.starts[maybe]
+        live = np.flatnonzero((self.hashes[at] == words.hash[maybe]) & (size == self.ends[w] - self.starts[w]))
+        maybe, w = maybe[live], w[live]
+        right = same_bytes(low, words.starts[maybe], self.raw, self.starts[w], size[live])
+        out[maybe[right]] = w[right]
+        return out
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every `size` consecutive words, by its first word; the last size - 1 are left out."""
     n = len(hashes) - size + 1
