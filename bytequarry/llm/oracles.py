@@ -17,6 +17,10 @@ _MEASURES = {
 }
 
 
+_SLACK = "CASE v.measure " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.SLACK.items()) + " END"
+_LANG = f"CASE WHEN l.size >= {quality.MIN_GROUP} THEN least(l.fence, a.fence + {_SLACK}) ELSE a.fence END"
+
+
 def _fences(name: str, keys: str) -> str:
     on = f"{keys}, measure" if keys else "measure"
     top = "CASE WHEN bucket < 16 THEN bucket ELSE ((bucket - (bucket // 16 - 1) * 16 + 1) << (bucket // 16 - 1)::INT) - 1 END"
@@ -40,7 +44,7 @@ m AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w,
 v AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, CASE WHEN {b} > 0 THEN {f} * {a} // {b} ELSE 0 END AS v FROM m" for k, (a, b, f) in _MEASURES.items())}),
 buckets AS (SELECT *, CASE WHEN v < 16 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)::INT) END AS bucket FROM v),
 {_fences("own", "lang, source")}, {_fences("by_lang", "lang")}, {_fences("over_all", "")},
-passed AS (SELECT doc_id, bool_and(v.v <= CASE WHEN o.size >= {quality.MIN_GROUP} THEN o.fence WHEN l.size >= {quality.MIN_GROUP} THEN l.fence ELSE a.fence END) AS ok
+passed AS (SELECT doc_id, bool_and(v.v <= CASE WHEN o.size >= {quality.MIN_GROUP} THEN least(o.fence, {_LANG} + {_SLACK}) ELSE {_LANG} END) AS ok
   FROM v JOIN own o ON o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source AND o.measure = v.measure
   JOIN by_lang l ON l.lang IS NOT DISTINCT FROM v.lang AND l.measure = v.measure JOIN over_all a ON a.measure = v.measure GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept

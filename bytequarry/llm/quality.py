@@ -5,7 +5,8 @@ kept: counts of log-linear buckets (exact to 16, then 16 buckets to each doublin
 counts, so Spark builds them with partial aggregation, and the sketches of a language or of the whole corpus are
 sums of the same rows. A document fails if a measure lies beyond its group's upper fence,
 q75 + FENCE * (q75 - q25) + the measure's slack; groups of fewer than MIN_GROUP documents use their language's
-fence, and languages of fewer the corpus's.
+fence, and languages of fewer the corpus's. No group's fence lies above its language's, and no language's above the
+corpus's, by more than the slack, so that a group of which over a quarter is junk does not set its own measure.
 
 Defined results: null text has no words and so fails the base rules; null languages and sources form groups of
 their own; equal rows are judged alike; an empty table gives an empty result. Columns other than those named are
@@ -185,7 +186,12 @@ def thresholds(measured: DataFrame, lang: str, source: str) -> DataFrame:
     langs = _fences(add(["g_lang"]), ["g_lang"]).select(F.col("g_lang").alias("l_lang"), F.col("size").alias("l_size"), F.col("fences").alias("l_fences"))
     all_ = _fences(add([]).withColumn("one", F.lit(1)), ["one"]).select(F.col("fences").alias("a_fences"))
     joined = groups.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(all_))  # one row
-    return joined.select("g_lang", "g_source", F.when(F.col("size") >= MIN_GROUP, F.col("fences")).when(F.col("l_size") >= MIN_GROUP, F.col("l_fences")).otherwise(F.col("a_fences")).alias("fences"))
+    fences = {}
+    for m, slack in SLACK.items():
+        whole = F.col("a_fences")[m]
+        lang_ = F.when(F.col("l_size") >= MIN_GROUP, F.least(F.col("l_fences")[m], whole + slack)).otherwise(whole)
+        fences[m] = F.when(F.col("size") >= MIN_GROUP, F.least(F.col("fences")[m], lang_ + slack)).otherwise(lang_)
+    return joined.select("g_lang", "g_source", F.create_map(*(x for m, v in fences.items() for x in (F.lit(m), v.cast("bigint")))).alias("fences"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

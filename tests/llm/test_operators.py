@@ -250,6 +250,17 @@ def test_sketches_merge_and_bound(spark):
             assert abs(x.fences[m] - want) <= 0.07 * (4 * q75 + 3 * q25) + 4
 
 
+def test_quality_group_of_junk_does_not_set_its_own_measure(spark):
+    r = random.Random(4)
+    plain = lambda: " ".join(r.choice(edge.WORDS) + str(r.randrange(999)) for _ in range(60))
+    rows = [(k, plain(), "en", f"s{k % 4}") for k in range(2000)] + [(5000 + k, plain() + " # $ % & | # $ % & |" * 8, "en", "junk") for k in range(600)]
+    rows += [(9000 + k, plain(), "en", "junk") for k in range(100)]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")))
+    clean = [v.kept for d, v in got.items() if not 5000 <= d < 9000]
+    assert sum(clean) >= 0.98 * len(clean)
+    assert not any(v.kept for d, v in got.items() if 5000 <= d < 9000)
+
+
 def test_quality_odd(spark):
     out = quality.judge(edge.table(spark)).collect()
     assert len(out) == len(edge.rows())
