@@ -15,17 +15,22 @@ def hex_pairs(text: Column) -> Column:
     return F.regexp_extract_all(F.hex(utf8(text)), F.lit(".."), F.lit(0))
 
 
+def strings_of(df: DataFrame, key: str, text: str, size: int, name: str) -> DataFrame:
+    """(blob_id, pos, name): the `size` bytes from each place as a number. They are cut from the binary, which costs
+    the same at any place, so no row needs its neighbours."""
+    blobs = df.select(F.col(key).alias("blob_id"), utf8(F.col(text)).alias("data")).filter(F.octet_length("data") >= size)
+    rows = blobs.select("blob_id", "data", F.explode(F.sequence(F.lit(0), F.octet_length("data") - size)).alias("pos"))
+    return rows.select("blob_id", "pos", F.conv(F.hex(F.expr(f"substring(data, pos + 1, {size})")), 16, 10).cast("int").alias(name))
+
+
 def bytes_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(blob_id, pos, b). Bytes are cut from the binary, which costs the same at any place."""
-    blobs = df.select(F.col(key).alias("blob_id"), utf8(F.col(text)).alias("data")).filter(F.octet_length("data") > 0)
-    rows = blobs.select("blob_id", "data", F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1)).alias("pos"))
-    return rows.select("blob_id", "pos", F.conv(F.hex(F.expr("substring(data, pos + 1, 1)")), 16, 10).cast("int").alias("b"))
+    """(blob_id, pos, b): a row for each byte."""
+    return strings_of(df, key, text, 1, "b")
 
 
-def digrams(byte_rows: DataFrame) -> DataFrame:
-    """(blob_id, pos, g): two bytes as a number; the last byte has none."""
-    w = Window.partitionBy("blob_id").orderBy("pos")
-    return byte_rows.select("blob_id", "pos", (F.col("b") * 256 + F.lead("b").over(w)).alias("g")).filter("g is not null")
+def digrams(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(blob_id, pos, g): a row for each two neighbouring bytes, as a number."""
+    return strings_of(df, key, text, 2, "g")
 
 
 def chain(digram_rows: DataFrame, max_chain: int, window: int) -> DataFrame:

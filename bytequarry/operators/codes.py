@@ -16,6 +16,21 @@ def cumulative(counts: DataFrame, keys: list[str], symbol: str, count: str) -> D
     return counts.withColumns({"lo": upto - F.col(count), "hi": upto})
 
 
+#: Buckets whose sums are carried together.
+CARRIED = 1 << 10
+
+
+def before(sums: DataFrame, keys: list[str], bucket: str, n: str) -> DataFrame:
+    """(keys, bucket, before): for each bucket the sum of n over the lower buckets of its key. In two levels, so that
+    no task has a key's buckets all together: within groups of CARRIED buckets, and over the groups' sums."""
+    grouped = sums.withColumn("__group", F.floor(F.col(bucket) / CARRIED))
+    inner = F.sum(n).over(Window.partitionBy(*keys, "__group").orderBy(bucket)) - F.col(n)
+    over = Window.partitionBy(*keys).orderBy("__group")
+    carried = grouped.groupBy(*keys, "__group").agg(F.sum(n).alias("__n"))
+    carried = carried.withColumn("__before", F.sum("__n").over(over) - F.col("__n")).drop("__n")
+    return grouped.withColumn("__inner", inner).join(carried, [*keys, "__group"]).select(*keys, bucket, (F.col("__inner") + F.col("__before")).alias("before"))
+
+
 def scaled(counts: DataFrame, keys: list[str], symbol: str, count: str, m: int) -> DataFrame:
     """Adds `scaled`: frequencies that sum to m, none of a used symbol below 1.
 

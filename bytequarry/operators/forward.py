@@ -6,10 +6,10 @@ last to the first, in framing of their own."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import numpy as np
 
 from ..functions.bits import BUCKET_LENGTHS, BUCKET_OFFSETS
-from .parse import BitReader, BitWriter, common
+from .parse import SEARCHED, PairIndex
 
 #: Window and longest match of both formats, limits of the aligned format's tokens.
 ALIGNED_WINDOW, ALIGNED_LONGEST, SHORT_LENGTH, SHORT_OFFSET, MIDDLE_LENGTH, LONGEST_RUN = 2048, 272, 3, 32, 17, 63
@@ -18,22 +18,26 @@ BUCKET_WINDOW, BUCKET_LONGEST = 18720, 171
 
 def longest_ahead(data: bytes, window: int, longest: int) -> list[tuple[int, int]]:
     """(length, offset) of the longest later occurrence of each place, the nearest of equal ones; (0, 0) if none."""
-    places: dict[bytes, list[int]] = {}
-    for p in range(len(data) - 1):
-        places.setdefault(data[p : p + 2], []).append(p)
-    out = []
-    for n in range(len(data)):
-        best = (0, 0)
-        later = places.get(data[n : n + 2], [])
-        for p in later[bisect_right(later, n) :]:
-            if p - n > window:
-                break
-            k = common(data, n, p, min(longest, len(data) - p))
-            if k > max(1, best[0]):
-                best = (k, p - n)
-                if k >= longest:
-                    break
-        out.append(best)
+    index, out = PairIndex(data), []
+    for first in range(0, len(data), SEARCHED):
+        place = np.arange(first, min(first + SEARCHED, len(data)))
+        best, offset = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        live, k = np.arange(len(place)), 0
+        while len(live):
+            k += 1
+            there, at = index.neighbour(place[live], k)
+            near = there & (at - place[live] <= window)
+            live, at = live[near], at[near]
+            # only one that agrees at the place beyond the best length so far can be longer
+            most = np.minimum(longest, len(data) - at)
+            may = np.flatnonzero(most > best[live])
+            may = may[index.raw[at[may] + best[live[may]]] == index.raw[place[live[may]] + best[live[may]]]]
+            length = index.common(place[live[may]], at[may], most[may])
+            better = length > np.maximum(1, best[live[may]])
+            chosen = live[may[better]]
+            best[chosen], offset[chosen] = length[better], at[may[better]] - place[chosen]
+            live = live[best[live] < longest]
+        out += zip(best.tolist(), offset.tolist())
     return out
 
 
@@ -116,7 +120,11 @@ def aligned_decode(stream: bytes) -> bytes:
     return bytes(reversed(out))
 
 
-def deferred_parse(data: bytes, reach: int = 8) -> list[tuple[int, int]]:
+#: Places ahead that a match may give way to (fixed value).
+REACH = 32
+
+
+def deferred_parse(data: bytes, reach: int = REACH) -> list[tuple[int, int]]:
     """(length, offset) of the tokens: a match gives way if one of the next places has a longer one, by more than the
     distance; it is then cut to that distance, or becomes a literal."""
     found = longest_ahead(data, BUCKET_WINDOW, BUCKET_LONGEST)
@@ -142,56 +150,83 @@ def _bucket(v: int, classes) -> int:
     return sum(v >= first for first, _ in classes) - 1
 
 
-def bucket_prefixes(counts: list[int]) -> list[str]:
-    """Prefix codes of the 16 buckets: pairs by falling count get 3 to 8 bits, the last four 9."""
-    order = sorted(range(16), key=lambda i: (-counts[i], i))
-    pairs = [sorted(order[k : k + 2]) for k in range(0, 12, 2)] + [sorted(order[12:])]
-    out, tag = [""] * 16, 4
-    for size, pair in enumerate(pairs, 3):
-        for i in pair:
-            out[i] = format(tag, f"0{size}b")
-            tag += 1
-        tag <<= 1
+def canonical(lengths: list[int]) -> list[str]:
+    """The canonical prefix code of these lengths: codes rise with the length, and with the index among equal ones."""
+    out, code, size = [""] * len(lengths), -1, 0
+    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        code = (code + 1) << lengths[i] - size
+        size = lengths[i]
+        out[i] = format(code, f"0{size}b")
     return out
 
 
-def bucket_encode(data: bytes, reach: int = 8) -> bytes:
-    """Size, the 16 buckets in the order of their codes, then the tokens: 0 and a byte, or a bucket's code, offset, length."""
+def bucket_prefixes(counts: list[int]) -> list[str]:
+    """Prefix codes of the 16 buckets: by falling count pairs get 3 to 8 bits, the last four 9; the code of one bit is
+    a literal's."""
+    lengths = [0] * 16
+    for rank, i in enumerate(sorted(range(16), key=lambda i: (-counts[i], i))):
+        lengths[i] = min(3 + rank // 2, 9)
+    return canonical([1, *lengths])[1:]
+
+
+def low_first(pattern: str) -> bytes:
+    """Bits from the lowest of each byte on; a 1 ends them, and zeros fill the last byte."""
+    return int("1" + pattern[::-1], 2).to_bytes(len(pattern) // 8 + 1, "little")
+
+
+def pattern_of(data: bytes) -> str:
+    return format(int.from_bytes(data, "little"), "b")[:0:-1]
+
+
+def with_length(stream: bytes, size: int) -> bytes:
+    """The stream and a trailer: the blob's size in 16 bits, the low byte first."""
+    if size >= 1 << 16:
+        raise ValueError("the size does not fit 16 bits")
+    return stream + size.to_bytes(2, "little")
+
+
+def bucket_encode(data: bytes, reach: int = REACH) -> bytes:
+    """Size, the 16 buckets in the order of their codes, the number of bytes of bits, the bits, and the literals. Bits of
+    the tokens: 0 for a literal, or a bucket's code, offset and length."""
     tokens = deferred_parse(data, reach)
     buckets = [_bucket(k, BUCKET_LENGTHS) * 4 + _bucket(o, BUCKET_OFFSETS) if k > 1 else -1 for k, o in tokens]
     codes = bucket_prefixes([buckets.count(i) for i in range(16)])
     order = sorted(range(16), key=lambda i: (len(codes[i]), codes[i]))
-    w, at = BitWriter(), len(data)
+    pattern, literals, at = [], bytearray(), len(data)
     for (k, o), b in zip(reversed(tokens), reversed(buckets)):
         at -= k
         if k == 1:
-            w.bits("0")
-            w.byte(data[at])
+            pattern.append("0")
+            literals.append(data[at])
             continue
-        w.bits(codes[b])
+        pattern.append(codes[b])
         for v, classes, c in ((o, BUCKET_OFFSETS, b % 4), (k, BUCKET_LENGTHS, b // 4)):
             first, n = classes[c]
-            w.bits(format(v - first, f"0{n}b"))
-    table = bytes(order[k] << 4 | order[k + 1] for k in range(0, 16, 2))
-    return len(data).to_bytes(3, "big") + table + bytes(w.out)
+            pattern.append(format(v - first, f"0{n}b"))
+    table, coded = bytes(order[k] << 4 | order[k + 1] for k in range(0, 16, 2)), low_first("".join(pattern))
+    return len(data).to_bytes(3, "big") + table + len(coded).to_bytes(3, "big") + coded + bytes(literals)
 
 
 def bucket_decode(stream: bytes) -> bytes:
     size, order = int.from_bytes(stream[:3], "big"), [x for b in stream[3:11] for x in (b >> 4, b & 15)]
     shapes = sorted(bucket_prefixes([0] * 16), key=lambda c: (len(c), c))
     owner = dict(zip(shapes, order))
-    r, out = BitReader(stream, 11), bytearray()
+    end = 14 + int.from_bytes(stream[11:14], "big")
+    bits = pattern_of(stream[14:end])
+    literals, out, at = iter(stream[end:]), bytearray(), 0
     while len(out) < size:
-        if not r.bit():
-            out.append(r.byte())
+        if bits[at] == "0":
+            out.append(next(literals))
+            at += 1
             continue
-        code = "1"
-        while code not in owner:
-            code += str(r.bit())
-        b = owner[code]
-        first, n = BUCKET_OFFSETS[b % 4]
-        offset = first + r.number(n)
-        first, n = BUCKET_LENGTHS[b // 4]
-        for _ in range(first + r.number(n)):
-            out.append(out[-offset])
+        n = 3
+        while bits[at : at + n] not in owner:
+            n += 1
+        b, at = owner[bits[at : at + n]], at + n
+        values = []
+        for first, n in (BUCKET_OFFSETS[b % 4], BUCKET_LENGTHS[b // 4]):
+            values.append(first + int(bits[at : at + n] or "0", 2))
+            at += n
+        for _ in range(values[1]):
+            out.append(out[-values[0]])
     return bytes(reversed(out))

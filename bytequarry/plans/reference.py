@@ -1,8 +1,9 @@
 """Queries for the operator inventory, over whole tables, with the SQL that checks each.
 
-Keys name the inventory's entries. What the inventory states on single blobs runs on every text of `documents` (or
-`benchmark`, where each byte makes many rows); parses, coders and list transforms run on the short turns of `conversations`,
-which never reach the windows of 32 and 128 KB; integer sequences come from the star-schema tables."""
+Keys name the inventory's entries. What the inventory states on single blobs runs on every text of `documents`: byte
+rows where it is relational, kernels, blobs in parallel, where it is sequential (parses, coders, list transforms). Integer
+sequences come from the star-schema tables. The relational move to front and hex arrays run on `benchmark`, where SQL
+can follow them; the same transforms run on `documents` as kernels."""
 
 from __future__ import annotations
 
@@ -12,9 +13,9 @@ from pyspark.sql.window import Window
 
 from ..config import ALGORITHMS, TARGETS
 from ..functions import bits, blobs
-from ..operators import codes, entropy, forward, parse
-from ..session import table
-from ..sources import containers
+from ..operators import codes, entropy, forward, parse, runs
+from ..session import scratch, table
+from ..sources import containers, files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -122,7 +123,7 @@ def q_p7_discard_short_far(spark, sf_dir):
 # --- history, candidates -----------------------------------------------------------------------------------------
 @query(f"WITH {BYTES}, g AS (SELECT blob_id, pos, b * 256 + lead(b) OVER (PARTITION BY blob_id ORDER BY pos) AS g FROM b) SELECT g::INT AS g, count(*) AS n, count(DISTINCT blob_id) AS n_blobs FROM g WHERE g IS NOT NULL GROUP BY g")
 def q_f19_digram_counts(spark, sf_dir):
-    return blobs.digrams(doc_bytes(spark, sf_dir)).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("blob_id").alias("n_blobs"))
+    return blobs.digrams(docs(spark, sf_dir), "doc_id", "text").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("blob_id").alias("n_blobs"))
 
 
 @query(f"""WITH {BYTES}, g AS (SELECT blob_id, pos, b * 256 + lead(b) OVER (PARTITION BY blob_id ORDER BY pos) AS g FROM b),
@@ -130,7 +131,7 @@ c AS (SELECT blob_id, pos, list(pos) OVER (PARTITION BY blob_id, g ORDER BY pos
 o AS (SELECT blob_id, [pos - p FOR p IN coalesce(l, []) IF pos - p <= 131071] AS o FROM c)
 SELECT blob_id, count(*) AS n_pos, sum(len(o))::BIGINT AS n_candidates, sum(coalesce(list_sum(o), 0))::BIGINT AS sum_offsets, min(list_min(o))::INT AS nearest, max(list_max(o))::INT AS farthest FROM o GROUP BY blob_id""")
 def q_j1_chain_candidates(spark, sf_dir):
-    found = blobs.chain(blobs.digrams(doc_bytes(spark, sf_dir)), 16, 131072)
+    found = blobs.chain(blobs.digrams(docs(spark, sf_dir), "doc_id", "text"), 16, 131072)
     total = F.aggregate("offsets", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return found.groupBy("blob_id").agg(F.count(F.lit(1)).alias("n_pos"), F.sum(F.size("offsets")).cast("bigint").alias("n_candidates"), F.sum(total).alias("sum_offsets"), F.min(F.array_min("offsets")).alias("nearest"), F.max(F.array_max("offsets")).alias("farthest"))
 
@@ -142,7 +143,7 @@ SELECT blob_id, sum(n)::BIGINT AS n_candidates, max(n)::BIGINT AS most FROM (SEL
 
 def _forward(spark, sf_dir, window: int) -> DataFrame:
     w = Window.partitionBy("blob_id", "g").orderBy("pos").rangeBetween(1, window)
-    each = blobs.digrams(doc_bytes(spark, sf_dir)).select("blob_id", F.count(F.lit(1)).over(w).alias("n"))
+    each = blobs.digrams(docs(spark, sf_dir), "doc_id", "text").select("blob_id", F.count(F.lit(1)).over(w).alias("n"))
     return each.groupBy("blob_id").agg(F.sum("n").alias("n_candidates"), F.max("n").alias("most"))
 
 
@@ -240,13 +241,12 @@ def q_a9_bit_counts(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders")
 def q_o1_o3_stable_radix_order(spark, sf_dir):
-    """Places of a stable sort by counting: rank within a bucket of the high bits plus the counts of lower buckets,
+    """Places of a stable sort by counting: the rank within a bucket of the high bits plus the counts of lower buckets,
     so that no task sorts the whole."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").withColumn("bucket", F.shiftright("o_custkey", 6))
-    counts = o.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("bucket").alias("k"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("bucket").orderBy("o_custkey", "o_orderkey")) - 1
-    return o.withColumn("inner", inner).join(before, F.col("bucket") == F.col("k")).select("o_orderkey", "o_custkey", (F.col("before") + F.col("inner")).alias("place"))
+    before = codes.before(o.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [], "bucket", "n")
+    return o.withColumn("inner", inner).join(before, "bucket").select("o_orderkey", "o_custkey", (F.col("before") + F.col("inner")).alias("place"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r <= 2")
@@ -328,25 +328,32 @@ def q_f18_f23_merge_keys(spark, sf_dir):
 
 # --- logs and text -----------------------------------------------------------------------------------------------
 def _log(spark, sf_dir) -> DataFrame:
-    """Log lines of a parse, made from lineitem: literals and matches."""
+    """Log lines of a parse, made from lineitem: literals and matches. The form of a line is a fixed value."""
     li, n = table(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("int")
     line = F.when(n % 3 == 0, F.format_string("%04d (%5d) RAW %d  ('x')", F.col("l_linenumber"), F.col("l_orderkey"), n)).otherwise(F.format_string("%04d (%5d) MTC %d,%d OM 00 -> 0004 (3)", F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey"), n))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))
 
 
+def _scanned_log(spark, sf_dir) -> DataFrame:
+    """The log as a text file, read line by line."""
+    path = scratch(spark, "log")
+    files.write_lines(_log(spark, sf_dir), "line", path)
+    return files.read_lines(spark, path)
+
+
 _LOG = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity::INT % 3 = 0 THEN printf('%04d (%5d) RAW %d  (''x'')', l_linenumber, l_orderkey, l_quantity::INT) ELSE printf('%04d (%5d) MTC %d,%d OM 00 -> 0004 (3)', l_linenumber, l_orderkey, l_partkey, l_quantity::INT) END AS line FROM lineitem"
 
 
 @query(f"SELECT regexp_extract(line, 'MTC (\\d+),(\\d+)', 1)::INT AS o, count(*) AS n FROM ({_LOG}) WHERE line LIKE '%MTC%' GROUP BY 1")
 def q_f21_a10_log_offset_histogram(spark, sf_dir):
     o = F.regexp_extract("line", r"MTC (\d+),(\d+)", 1).cast("int")
-    return _log(spark, sf_dir).filter(F.col("line").contains("MTC")).groupBy(o.alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    return _scanned_log(spark, sf_dir).filter(F.col("line").contains("MTC")).groupBy(o.alias("o")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT ((regexp_extract(line, 'MTC (\\d+),(\\d+)', 2)::INT - 2) // 8)::BIGINT AS bin, count(*) AS n FROM ({_LOG}) WHERE line LIKE '%MTC%' AND regexp_extract(line, 'MTC (\\d+),(\\d+)', 2)::INT >= 2 GROUP BY 1")
 def q_a11_log_length_histogram(spark, sf_dir):
     n = F.regexp_extract("line", r"MTC (\d+),(\d+)", 2).cast("int")
-    return _log(spark, sf_dir).filter(F.col("line").contains("MTC") & (n >= 2)).groupBy(F.floor((n - 2) / 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _scanned_log(spark, sf_dir).filter(F.col("line").contains("MTC") & (n >= 2)).groupBy(F.floor((n - 2) / 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH l AS (SELECT l_orderkey, line LIKE '%RAW%' AS raw, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM ({_LOG})),
@@ -423,6 +430,36 @@ def q_a7_a14_table_bits_and_gain(spark, sf_dir):
     return f.groupBy("lang").agg(F.sum("cnt").alias("total"), F.round(size, 3).alias("table_bits"), F.round(1 - size / (8 * F.sum("cnt")), 6).alias("gain"))
 
 
+@query(f"SELECT o, n, row_number() OVER (ORDER BY o) AS place FROM (SELECT regexp_extract(line, 'MTC (\\d+),(\\d+)', 2)::INT AS o, count(*) AS n FROM ({_LOG}) WHERE line LIKE '%MTC%' GROUP BY 1)")
+def q_s6_o7_sorted_log_items(spark, sf_dir):
+    """Lengths of the log's matches in their order, with their numbers; lengths are few, whatever the log's size."""
+    o = F.regexp_extract("line", r"MTC (\d+),(\d+)", 2).cast("int")
+    items = _scanned_log(spark, sf_dir).filter(F.col("line").contains("MTC")).groupBy(o.alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    return items.withColumn("place", F.row_number().over(Window.orderBy("o")).cast("bigint"))
+
+
+@query(f"SELECT count(*) AS n_lines, sum(octet_length(encode(line)) + 1)::BIGINT AS n_bytes FROM ({_LOG})")
+def q_s11_binary_files(spark, sf_dir):
+    """The log's files as byte arrays: their sizes and line ends."""
+    path = scratch(spark, "log")
+    files.write_lines(_log(spark, sf_dir), "line", path)
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    ends = F.length(F.regexp_replace(F.hex("content"), "(..)", "$1 ")) - F.length(F.replace(F.regexp_replace(F.hex("content"), "(..)", "$1 "), F.lit("0A "), F.lit("")))
+    return read.agg((F.sum(ends) / 3).cast("bigint").alias("n_lines"), F.sum("length").alias("n_bytes"))
+
+
+@query("SELECT n_name, r_name, count(*) AS n, round(sum(s_acctbal), 2)::DOUBLE AS balance FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+def q_s7_csv_scan(spark, sf_dir):
+    """Three tables from CSV files with a header, types inferred."""
+    read = {}
+    for name, columns in (("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("region", ["r_regionkey", "r_name"]), ("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])):
+        path = scratch(spark, name)
+        table(spark, sf_dir, name).select(*columns).write.csv(path, header=True)
+        read[name] = files.read_csv(spark, path)
+    joined = read["supplier"].join(read["nation"], F.col("s_nationkey") == F.col("n_nationkey")).join(read["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).cast("double").alias("balance"))
+
+
 # --- relocations -------------------------------------------------------------------------------------------------
 _RELOCS = "SELECT DISTINCT (l_suppkey % 8)::INT AS src, (l_linenumber % 4)::INT AS dst, l_orderkey * 2 AS off FROM lineitem"
 
@@ -439,8 +476,14 @@ def q_u1_o5_union_distinct_relocs(spark, sf_dir):
 
 
 def _deltas(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy("src", "dst").orderBy("off")
-    return _relocs(spark, sf_dir).distinct().withColumn("delta", F.col("off") - F.lag("off", 1, 0).over(w))
+    """Distance to the offset before. A table's offsets lie in few groups, so they are cut into ranges; the first of a
+    range looks at the largest of the range before."""
+    rows = _relocs(spark, sf_dir).distinct().withColumn("part", F.shiftright("off", 14))
+    keys = ["src", "dst", "part"]
+    w = Window.partitionBy("src", "dst").orderBy("part")
+    last = rows.groupBy(*keys).agg(F.max("off").alias("last")).withColumn("carried", F.coalesce(F.lag("last").over(w), F.lit(0))).drop("last")
+    inner = F.lag("off").over(Window.partitionBy(*keys).orderBy("off"))
+    return rows.withColumn("inner", inner).join(last, keys).select("src", "dst", "off", (F.col("off") - F.coalesce("inner", "carried")).alias("delta"))
 
 
 _DELTAS = f"SELECT *, off - lag(off, 1, 0) OVER (PARTITION BY src, dst ORDER BY off) AS delta FROM ({_RELOCS})"
@@ -466,11 +509,15 @@ def _segments(spark, sf_dir) -> DataFrame:
 
 
 def _placed(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy("kind", "memory")
-    base = F.coalesce(F.sum("size").over(w.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = _segments(spark, sf_dir).withColumn("base", base).withColumn("seen", F.min("seg").over(w))
-    groups = s.select("kind", "memory", "seen").distinct().withColumn("merged", F.row_number().over(Window.orderBy("seen")) - 1)  # a row for each kind
-    return s.join(F.broadcast(groups.drop("seen")), ["kind", "memory"])
+    """Segments with the number of their merged one and their place there: the sum of sizes before, by ranges."""
+    s = _segments(spark, sf_dir).withColumn("part", F.shiftright("seg", 12))
+    keys = ["kind", "memory", "part"]
+    inner = F.sum("size").over(Window.partitionBy(*keys).orderBy("seg")) - F.col("size")
+    carried = codes.before(s.groupBy(*keys).agg(F.sum("size").alias("n")), ["kind", "memory"], "part", "n")
+    s = s.withColumn("inner", inner).join(carried, keys).withColumn("base", F.col("inner") + F.col("before"))
+    groups = _segments(spark, sf_dir).groupBy("kind", "memory").agg(F.min("seg").alias("seen"))  # a row for each kind
+    groups = groups.withColumn("merged", F.row_number().over(Window.orderBy("seen")) - 1)
+    return s.join(F.broadcast(groups.drop("seen")), ["kind", "memory"]).select("seg", "kind", "memory", "size", "base", "merged")
 
 
 @query(f"SELECT seg, (dense_rank() OVER (ORDER BY seen) - 1)::INT AS merged, base FROM ({_PLACED})")
@@ -494,18 +541,51 @@ def q_j6_t26_rebased_relocs(spark, sf_dir):
 
 
 # --- sequential kernels, one blob at a time ----------------------------------------------------------------------
-def _talk(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "conversations").withColumn("blob", F.col("conv_id") * 1000 + F.col("turn"))
-
-
 @query()
 def q_t1_t7_t29_parse_wide(spark, sf_dir):
-    return parse.summaries(_talk(spark, sf_dir), "blob", "text", "wide")
+    return parse.summaries(docs(spark, sf_dir), "doc_id", "text", "wide")
 
 
 @query()
 def q_t1_t7_t29_parse_narrow(spark, sf_dir):
-    return parse.summaries(_talk(spark, sf_dir), "blob", "text", "narrow")
+    return parse.summaries(docs(spark, sf_dir), "doc_id", "text", "narrow")
+
+
+@query()
+def q_t8_t30_parse_wide_runs(spark, sf_dir):
+    """Literal runs; a text that no tokens cover (too long a run, P12) has its status."""
+    return runs.summaries(docs(spark, sf_dir), "doc_id", "text", "wide_runs")
+
+
+@query()
+def q_t9_f9_parse_tabled_runs(spark, sf_dir):
+    return runs.summaries(docs(spark, sf_dir), "doc_id", "text", "tabled_runs")
+
+
+@query()
+def q_t10_f9_parse_tabled(spark, sf_dir):
+    return runs.summaries(docs(spark, sf_dir), "doc_id", "text", "tabled")
+
+
+@query()
+def q_a3_t36_symbol_frequencies(spark, sf_dir):
+    """How often each table's symbols occur over the chosen tokens of all texts, by stream."""
+    rows = runs.symbol_rows(docs(spark, sf_dir), "doc_id", "text", "tabled_runs")
+    return rows.groupBy("stream", "symbol").agg(F.sum("n").alias("n"), F.countDistinct("blob_id").alias("n_blobs"))
+
+
+def _longest(data: bytes) -> tuple:
+    best = (0, 0, -1)  # the first seen of equal ones
+    for pos, found in enumerate(parse.matches(data, parse.BY_NAME["wide"])):
+        for o, n in found:
+            if n > best[0]:
+                best = (n, o, pos)
+    return len(data), *best
+
+
+@query()
+def q_a13_longest_match(spark, sf_dir):
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _longest, "n_bytes bigint, length bigint, offset bigint, pos bigint")
 
 
 def _coded(data: bytes) -> tuple:
@@ -521,7 +601,7 @@ def _coded(data: bytes) -> tuple:
 
 @query()
 def q_t21_t22_range_coders(spark, sf_dir):
-    return entropy.per_blob(_talk(spark, sf_dir), "blob", "text", _coded, "n_bytes bigint, range_bytes bigint, binary_bits bigint, range_trip boolean, binary_trip boolean")
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _coded, "n_bytes bigint, range_bytes bigint, binary_bits bigint, range_trip boolean, binary_trip boolean")
 
 
 def _tabled(data: bytes) -> tuple:
@@ -533,7 +613,7 @@ def _tabled(data: bytes) -> tuple:
 
 @query()
 def q_t20_table_coder(spark, sf_dir):
-    return entropy.per_blob(_talk(spark, sf_dir), "blob", "text", _tabled, "n_bytes bigint, n_bits bigint, trip boolean")
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _tabled, "n_bytes bigint, n_bits bigint, trip boolean")
 
 
 def _fronted(data: bytes) -> tuple:
@@ -544,7 +624,7 @@ def _fronted(data: bytes) -> tuple:
 
 @query()
 def q_t23_t25_lists(spark, sf_dir):
-    return entropy.per_blob(_talk(spark, sf_dir), "blob", "text", _fronted, "n_bytes bigint, sum_index bigint, trip boolean, hits bigint, front_hits bigint")
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _fronted, "n_bytes bigint, sum_index bigint, trip boolean, hits bigint, front_hits bigint")
 
 
 _MTF = """WITH bytes AS (SELECT item_id AS blob_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) - 1 AS pos FROM benchmark),
@@ -555,8 +635,9 @@ b AS (SELECT blob_id, pos, ('0x' || h)::INT AS b FROM bytes)"""
 s AS (SELECT x.blob_id, x.pos, x.b, x.before, count(DISTINCT y.b) FILTER (WHERE y.pos > x.before) AS since, count(DISTINCT y.b) FILTER (WHERE y.b > x.b) AS above FROM l x LEFT JOIN b y ON y.blob_id = x.blob_id AND y.pos < x.pos GROUP BY ALL)
 SELECT blob_id, pos, (CASE WHEN before IS NOT NULL THEN since ELSE b + above END)::INT AS idx FROM s""")
 def q_t23_move_to_front(spark, sf_dir):
-    """Relational move to front: the bytes since the last occurrence, or, for a new byte, those seen above it. A frame
-    collects all bytes before, which grows with the square of a text's length, so it runs on the small `benchmark` only."""
+    """Relational move to front, for short blobs: the bytes since the last occurrence, or, for a new byte, those seen
+    above it. A frame collects all bytes before, which grows with the square of a blob's length, so it runs on the items
+    of `benchmark`; q_t23_t25_lists does the same on `documents` with a list of 256 entries."""
     rows = blobs.bytes_of(table(spark, sf_dir, "benchmark"), "item_id", "text")
     w = Window.partitionBy("blob_id").orderBy("pos")
     seen = F.collect_list(F.struct("b", "pos")).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -572,7 +653,7 @@ def _taped(data: bytes) -> tuple:
     return len(data), sum(len(d) for blocks in read for _, d, _ in blocks), all(ok for blocks in read for _, _, ok in blocks), b"".join(blocks[1][1] for blocks in read) == data
 
 
-@query()
+@query("SELECT doc_id AS blob_id, n AS n_bytes, n + 17 * greatest(1, (n + 65532) // 65533) AS stored_bytes, TRUE AS checks, TRUE AS trip FROM (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n FROM documents)")
 def q_k3_k4_tape_image(spark, sf_dir):
     return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _taped, "n_bytes bigint, stored_bytes bigint, checks boolean, trip boolean")
 
@@ -605,7 +686,7 @@ def _aligned(data: bytes) -> tuple:
 
 @query()
 def q_t13_t14_t31_aligned_format(spark, sf_dir):
-    return entropy.per_blob(_talk(spark, sf_dir), "blob", "text", _aligned, "n_bytes bigint, encoded_bytes bigint, n_literals bigint, n_matches bigint, trip boolean")
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _aligned, "n_bytes bigint, encoded_bytes bigint, n_literals bigint, n_matches bigint, trip boolean")
 
 
 def _bucketed(data: bytes) -> tuple:
@@ -615,7 +696,30 @@ def _bucketed(data: bytes) -> tuple:
 
 @query()
 def q_t15_k11_t31_bucketed_format(spark, sf_dir):
-    return entropy.per_blob(_talk(spark, sf_dir), "blob", "text", _bucketed, "n_bytes bigint, encoded_bytes bigint, n_literals bigint, n_matches bigint, trip boolean")
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _bucketed, "n_bytes bigint, encoded_bytes bigint, n_literals bigint, n_matches bigint, trip boolean")
+
+
+@query()
+def q_k1_k10_raw_files(spark, sf_dir):
+    """Every text's byte-aligned stream with its trailer as a raw file, read back as byte arrays and decoded. Texts of
+    64 KB or more don't fit the trailer, and are told as such."""
+    encoded = entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _trailed, "n_bytes bigint, fits boolean, data binary").withColumnRenamed("fits", "kept")
+    path = scratch(spark, "streams")
+    files.write_blobs(encoded.filter("kept"), path).write.format("noop").mode("overwrite").save()
+    read = files.read_blobs(spark, path).join(docs(spark, sf_dir), F.col("blob_id") == F.col("doc_id"))
+    return entropy.per_blob(read.withColumn("both", F.concat(F.hex("data"), F.lit(":"), F.coalesce(F.hex(blobs.utf8(F.col("text"))), F.lit("")))), "blob_id", "both", _read_back, "encoded_bytes bigint, n_bytes bigint, trip boolean")
+
+
+def _trailed(data: bytes) -> tuple:
+    fits = len(data) < 1 << 16
+    return len(data), fits, forward.with_length(forward.aligned_encode(data), len(data)) if fits else b""
+
+
+def _read_back(both: bytes) -> tuple:
+    stream, text = (bytes.fromhex(x) for x in both.decode().split(":"))
+    size = int.from_bytes(stream[-2:], "little")
+    decoded = forward.aligned_decode(stream[:-2])
+    return len(stream), size, decoded == text and size == len(text)
 
 
 def _prefixed(data: bytes) -> tuple:
@@ -664,17 +768,21 @@ def q_s5_f20_control_sequences(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", blobs.translate_controls(marked).alias("plain"))
 
 
-@query("SELECT event_id, least(255, greatest(1, 128 + CASE WHEN event_type = 'click' THEN -greatest(1, 128 // 32) ELSE greatest(1, 128 // 32) END)) AS p FROM events")
+@query(f"SELECT doc_id, list_reduce([('0x' || h)::INT & 1 FOR h IN {HEXES}], lambda p, bit: CASE WHEN bit = 1 THEN greatest(1, p - greatest(1, (256 - p) // 32)) ELSE least(255, p + greatest(1, p // 32)) END, 128) AS p FROM documents WHERE text IS NOT NULL")
 def q_f24_adapted_probability(spark, sf_dir):
-    p, one = F.lit(128), F.col("event_type") == "click"
-    step = F.greatest(F.lit(1), F.floor(F.when(one, 256 - p).otherwise(p) / 32)).cast("int")
-    moved = F.when(one, F.greatest(F.lit(1), p - step)).otherwise(F.least(F.lit(255), p + step))
-    return table(spark, sf_dir, "events").select("event_id", moved.alias("p"))
+    """The model's probability after the lowest bits of all bytes of a text, from an even start."""
+    low = F.transform(blobs.hex_pairs(F.col("text")), lambda h: F.conv(h, 16, 10).cast("int").bitwiseAND(1))
+
+    def moved(p, bit):
+        step = F.greatest(F.lit(1), F.floor(F.when(bit == 1, 256 - p).otherwise(p) / 32)).cast("int")
+        return F.when(bit == 1, F.greatest(F.lit(1), p - step)).otherwise(F.least(F.lit(255), p + step))
+
+    return docs(spark, sf_dir).filter("text is not null").select("doc_id", F.aggregate(low, F.lit(128), moved).alias("p"))
 
 
 @query(f"""WITH {BYTES}, s AS (SELECT d.lang, b.blob_id, CASE WHEN b = 0 THEN 0 ELSE floor(log2(b))::INT + 1 END AS sym, count(*) AS n FROM b JOIN documents d ON d.doc_id = blob_id GROUP BY ALL)
 SELECT lang, sym, count(*) AS n_blobs, sum(n)::BIGINT AS total, max(n) AS most FROM s GROUP BY lang, sym""")
-def q_a3_symbol_frequencies(spark, sf_dir):
+def q_f7_byte_class_frequencies(spark, sf_dir):
     df = docs(spark, sf_dir).withColumn("key", F.struct("doc_id", "lang"))
     b = F.col("b")
     each = blobs.bytes_of(df, "key", "text").groupBy("blob_id", F.when(b == 0, 0).otherwise(bits.floor_log2(b) + 1).cast("int").alias("sym")).agg(F.count(F.lit(1)).alias("n"))
