@@ -84,10 +84,10 @@ def parse_runs(data: bytes, algo: Algorithm, initial_offset: int = 4) -> list[St
     return out[::-1]
 
 
-def encode_runs(data: bytes, algo: Algorithm, initial_offset: int = 4, ascii_mode: bool = False) -> bytes:
+def encode_runs(data: bytes, algo: Algorithm, initial_offset: int = 4, ascii_mode: bool = False, steps: Sequence[Step] | None = None) -> bytes:
     """A byte with the mode and the initial offset, the size in 24 bits, the tokens. In ASCII mode the last byte of a run
     holds the next token's tag in its lowest bit."""
-    steps, w, top = parse_runs(data, algo, initial_offset), BitWriter(), _top(algo)
+    steps, w, top = parse_runs(data, algo, initial_offset) if steps is None else steps, BitWriter(), _top(algo)
     classes = NARROW_OFFSET_CLASSES if algo.window <= 32768 else OFFSET_CLASSES
     for k, t in enumerate(steps):
         after = k > 0 and steps[k - 1].kind == "run"
@@ -186,10 +186,10 @@ def _rice(n: int) -> str:
     return "1" * (n >> RICE) + "0" + format(n & (1 << RICE) - 1, f"0{RICE}b")
 
 
-def encode_tabled(data: bytes, algo: Algorithm, initial_offset: int = 4) -> bytes:
+def encode_tabled(data: bytes, algo: Algorithm, initial_offset: int = 4, steps: Sequence[Step] | None = None) -> bytes:
     """Header as of the other streams; for each table its frequencies, state, and bits; then tags, low bits and
     literals of the tokens."""
-    steps = steps_of(data, algo, initial_offset)
+    steps = steps_of(data, algo, initial_offset) if steps is None else steps
     least, single = _class(algo.min_offset), algo.max_literal_run == 1
     w = BitWriter()
     for stream, found in symbols(steps, algo).items():
@@ -285,13 +285,13 @@ def summaries(df: DataFrame, key: str, text: str, algorithm: str) -> DataFrame:
             rows, status, trips = [], [], []
             for data in (d or b"" for d in batch.column("data").to_pylist()):
                 try:
-                    steps, stream = steps_of(data, algo), encode(data, algo)
+                    steps = steps_of(data, algo)
                 except TooLongRun:
                     rows.append((len(data), 0, 0, 0, 0, 0))
                     status.append("run too long")
                     trips.append(None)
                     continue
-                kinds = [t.kind for t in steps]
+                kinds, stream = [t.kind for t in steps], encode(data, algo, steps=steps)
                 rows.append((len(data), *(kinds.count(k) for k in ("run", "match", "repeat")), sum(t.length for t in steps if t.kind == "run"), len(stream)))
                 status.append("ok" if len(stream) < len(data) else "expanded")
                 trips.append(decode(stream, algo) == data)

@@ -627,6 +627,18 @@ def q_t23_t25_lists(spark, sf_dir):
     return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _fronted, "n_bytes bigint, sum_index bigint, trip boolean, hits bigint, front_hits bigint")
 
 
+def _escaped(data: bytes) -> tuple:
+    front = entropy.Front()
+    stream, escaped = front.encode(data)
+    return len(data), escaped, len(stream), front.decode(stream) == data
+
+
+@query()
+def q_t23_t24_a15_escaped_lists(spark, sf_dir):
+    """Move to front with escapes in batches: all bytes, escaped ones, and numbers written."""
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _escaped, "n_bytes bigint, n_escaped bigint, n_written bigint, trip boolean")
+
+
 _MTF = """WITH bytes AS (SELECT item_id AS blob_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) - 1 AS pos FROM benchmark),
 b AS (SELECT blob_id, pos, ('0x' || h)::INT AS b FROM bytes)"""
 

@@ -219,6 +219,24 @@ def test_coders(symbols):
     assert entropy.move_back(entropy.move_to_front(symbols)) == symbols
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=300), st.sampled_from([(256, 128, 100, 1, 0), (256, 128, 100, 5, 0), (256, 20, 3, 5, 2), (256, 256, 5, 1, 1), (256, 8, 0, 3, 0)]))
+def test_escaped_lists(data, shape):
+    front = entropy.Front(*shape)
+    stream, escaped = front.encode(data)
+    assert front.decode(stream) == data
+    if shape[0] == shape[1]:
+        assert escaped == 0 and (shape[4] or list(stream) == entropy.move_to_front(data))
+
+
+def test_golden_escaped_list():
+    # by hand: 6 kept of 8 codes, two escapes; 9 and 8 are escaped together (code 6), enter at 1, and 5 and 4 go
+    stream, escaped = entropy.Front(256, 8, 1, 2).encode([9, 8, 0, 8, 5])
+    assert (stream, escaped) == (bytes([6, 9, 8, 0, 1, 7, 5]), 3)
+    with pytest.raises(ValueError):
+        entropy.Front(256, 8, 7, 2)
+
+
 def test_recent_offsets():
     assert entropy.recent_offsets([5, 5, 7, 5]) == [-1, 2, -1, 0]
 
