@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import ship, table  # noqa: F401
+from ..session import scratch, ship, table  # noqa: F401
 
 #: Rows and bytes that Spark hands to a Python worker at once; a longer text comes alone.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -27,17 +26,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, a folder of our own in local mode only:
-    the executors of a cluster would each write to a disk of theirs."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "/tmp/checkpoints"
-    return named.rstrip("/")
-
-
 def column(name: str) -> Column:
     """The column of that name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -47,10 +35,8 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write a table into the shared folder and read it back: this cuts the lineage, survives lost
     executors, and fixes the order-dependent parts of what was computed. It goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/bytequarry-{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.mode("overwrite").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

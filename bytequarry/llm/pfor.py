@@ -13,7 +13,6 @@ are kept; an empty table gives an empty corpus. Only the id and text columns are
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import parts, record, shared_dir, text_buffer, tune
+from .base import parts, record, scratch, text_buffer, tune
 from .tokens import encoder
 
 BLOCK, PERCENTILE = 128, 90
@@ -177,8 +176,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, drops_space: bool, lowers: bool = False, **names) -> DataFrame:
     """Write docs into the shared folder and read them back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/bytequarry-ids-{uuid.uuid4().hex}"
+    path = scratch(spark, "ids")
     write(docs, path, tokenizer, drops_space, lowers, **names)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return read(spark, path)
