@@ -47,3 +47,27 @@ TARGETS = (
     Target("bbc", (1 << 16) - 1, (0, 1, 2, 3, 4), 2),
     Target("ami", (1 << 24) - 1, (0, 2, 3, 4), 0),
 )
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a compression run may choose; numbers out of range are moved to its border."""
+
+    target: Target
+    algorithm: Algorithm
+    max_chain: int = 16
+    good_match: int = 63
+    initial_offset: int = 4
+    ascii_mode: bool = False
+    reverse: bool = False
+
+
+def options(target: str = "bin", algorithm: str | None = None, max_chain: int = 16, good_match: int = 63, **flags: bool) -> Options:
+    """Options by the target's name, with the target's default algorithm unless one that it supports is named."""
+    found = next((t for t in TARGETS if t.name == target), None)
+    if found is None:
+        raise ValueError(f"no such target: {target}")
+    chosen = next(a for a in ALGORITHMS if a.id == found.default) if algorithm is None else BY_NAME.get(algorithm)
+    if chosen is None or chosen.id not in found.algorithms:
+        raise ValueError(f"{target} does not take the algorithm {algorithm}")
+    return Options(found, chosen, min(max(1, max_chain), 9999), min(max(2, good_match), 255), found.initial_offset, **flags)

@@ -269,10 +269,16 @@ def q_f1_f2_offset_bits(spark, sf_dir):
 _TAGS = [(128, "''", 0), (256, "'00'", 0), (512, "'01'", 1), (1024, "'100'", 2), (2048, "'101'", 3), (4096, "'1100'", 4), (8192, "'1101'", 5), (16384, "'11100'", 6), (32768, "'11101'", 7), (65536, "'11110'", 8), (131072, "'11111'", 9)]
 
 
-@query("SELECT v, " + case_sql("v", [(k, f"{p} || right(repeat('0', 20) || bin(v), {n})" if n else p) for k, p, n in _TAGS], "NULL") + " AS tag, (" + case_sql("v", [(k, f"(v >> {n}) & 255") for k, _, n in _TAGS], "NULL") + ")::INT AS aside FROM range(1, 131072) r(v)")
+_NARROW_TAGS = [*_TAGS[:7], (16384, "'1110'", 6), (32768, "'1111'", 7)]
+_tags = lambda tags: case_sql("v", [(k, f"{p} || right(repeat('0', 20) || bin(v), {n})" if n else p) for k, p, n in tags], "NULL")
+_asides = lambda tags: "(" + case_sql("v", [(k, f"(v >> {n}) & 255") for k, _, n in tags], "NULL") + ")::INT"
+
+
+@query(f"SELECT v, {_tags(_TAGS)} AS tag, {_asides(_TAGS)} AS aside, {_tags(_NARROW_TAGS)} AS narrow_tag, {_asides(_NARROW_TAGS)} AS narrow_aside FROM range(1, 131072) r(v)")
 def q_f3_offset_codes(spark, sf_dir):
-    c = bits.offset_code(F.col("v"))
-    return _numbers(spark, 131072).select("v", c["bits"].alias("tag"), c["byte"].alias("aside"))
+    """Both variants; the format with literal runs takes the wide one."""
+    wide, narrow = bits.offset_code(F.col("v")), bits.offset_code(F.col("v"), bits.NARROW_OFFSET_CLASSES)
+    return _numbers(spark, 131072).select("v", wide["bits"].alias("tag"), wide["byte"].alias("aside"), narrow["bits"].alias("narrow_tag"), narrow["byte"].alias("narrow_aside"))
 
 
 @query("SELECT v, 2 * floor(log2(v))::INT + 1 - (v >= 32768)::INT AS wide_bits, CASE WHEN v < 256 THEN 2 * floor(log2(v))::INT + 1 - (v >= 128)::INT END AS narrow_bits, length(bin(v)) - 1 AS class FROM range(1, 65536) r(v)")
@@ -686,6 +692,25 @@ def _merged(data: bytes) -> tuple:
     return len(data), len(read), len(merged), len(containers.packed_relocs(merged)), one[0] + one[2] == two[0] and one[1] == two[1]
 
 
+def _executable(data: bytes) -> list:
+    half = (len(data) // 2 + 3) // 4 * 4 + 8
+    body = data + bytes(2 * half - len(data))
+    S = containers.Segment
+    return [S(containers.CODE, 0, body[:half], half, {1: set(range(0, half - 4, 12)), 2: {half - 4}}), S(containers.DATA, 1, body[half:], half, {0: {0, 4}}), S(containers.ZEROS, 0, b"", 64)]
+
+
+def _stripped(data: bytes) -> tuple:
+    """An executable that holds the text, stripped of all but segments and relocations, and restored."""
+    image = containers.build(_executable(data))
+    small = containers.prepared(image, "strip")
+    return len(data), len(image), len(small), containers.restored(small) == containers.parse(image)
+
+
+@query()
+def q_t27_t28_stripped_executables(spark, sf_dir):
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _stripped, "n_bytes bigint, image_bytes bigint, stripped_bytes bigint, same boolean")
+
+
 @query()
 def q_s8_t26_t32_executables(spark, sf_dir):
     return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _merged, "n_bytes bigint, n_read bigint, n_merged bigint, reloc_bytes bigint, same boolean")

@@ -191,3 +191,47 @@ def packed_relocs(segments: list[Segment]) -> bytes:
                 before = o
             out += bytes(1 + (len(out) + 1) % 2)
     return bytes(out)
+
+
+def stripped(segments: list[Segment]) -> bytes:
+    """A compact image that keeps the segments: their number; for each its memory and size, kind and data, without
+    symbols and names; all relocations, grouped by segment and target; a zero."""
+    out = bytearray(struct.pack(">H", len(segments)))
+    for s in segments:
+        data = b"" if s.kind == ZEROS else s.data + bytes(-len(s.data) % 4)
+        out += _words([(s.size + 3) // 4 | s.memory << 30, len(data) // 4 | (CODE, DATA, ZEROS).index(s.kind) << 30]) + data
+    return bytes(out) + packed_relocs(segments) + bytes(2)
+
+
+def restored(image: bytes) -> list[Segment]:
+    """The segments of a compact image."""
+    (n,), at, segments = struct.unpack_from(">H", image), 2, []
+    for _ in range(n):
+        size, held = struct.unpack_from(">II", image, at)
+        at += 8 + 4 * (held & SIZE_MASK)
+        segments.append(Segment((CODE, DATA, ZEROS)[held >> 30], size >> 30, image[at - 4 * (held & SIZE_MASK) : at], 4 * (size & SIZE_MASK)))
+    begin = at
+    while struct.unpack_from(">H", image, at)[0]:
+        target, source = struct.unpack_from(">HH", image, at)
+        at, place, offs = at + 4, 0, set()
+        while image[at] or not offs:  # the first place may be 0
+            v = 0
+            while image[at] & 128:
+                v, at = v << 7 | image[at] & 127, at + 1
+            place += (v << 7 | image[at]) << 1
+            offs.add(place)
+            at += 1
+        at += 1
+        at += (at - begin) % 2  # of even length
+        segments[source - 1].relocs[target - 1] = offs
+    return segments
+
+
+#: What is done to an executable before it is compressed.
+PREPARATIONS = {"merge": lambda image: build(merge(parse(image))), "strip": lambda image: stripped(parse(image)), "none": lambda image: image}
+
+
+def prepared(image: bytes, how: str) -> bytes:
+    if how not in PREPARATIONS:
+        raise ValueError(f"no such preparation: {how}")
+    return PREPARATIONS[how](image)

@@ -255,6 +255,29 @@ def test_executable_rejects():
         containers.parse(containers.build([containers.Segment(containers.CODE, 0, b"abcd", 4)])[:-4] + b"\0\0\x03\xf5")
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([containers.CODE, containers.DATA, containers.ZEROS]), st.integers(0, 2), st.integers(0, 40)), min_size=1, max_size=5), st.randoms())
+def test_stripped_executable(shapes, r):
+    segments = []
+    for kind, memory, longs in shapes:
+        data = b"" if kind == containers.ZEROS else bytes(r.randrange(256) for _ in range(4 * longs))
+        relocs = {t: {2 * r.randrange(2 * longs - 1) for _ in range(3)} for t in range(len(shapes)) if len(data) >= 4 and r.random() < 0.5}
+        segments.append(containers.Segment(kind, memory, data, 4 * longs, relocs))
+    assert containers.restored(containers.stripped(segments)) == segments
+    with pytest.raises(ValueError):
+        containers.prepared(b"", "shuffle")
+
+
+def test_options():
+    from bytequarry.config import options
+
+    assert options().algorithm.name == "wide" and options("zx").algorithm.name == "narrow"
+    assert options("bin", "tabled", max_chain=0, good_match=9000) == options("bin", "tabled", 1, 255)
+    for bad in (("tape",), ("zx", "wide"), ("bin", "none")):
+        with pytest.raises(ValueError):
+            options(*bad)
+
+
 @pytest.mark.parametrize("delta,size", [(2, 1), (254, 1), (256, 2), (32768, 3), (4194304, 4)])
 def test_varint_sizes(delta, size):
     assert len(containers.varint(delta)) == size
