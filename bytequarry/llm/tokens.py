@@ -184,7 +184,7 @@ class Encoder:
         missing = np.flatnonzero(piece < 0)
         if len(missing):
             fresh, where = np.unique(keys[missing], return_index=True)
-            if self.many + len(fresh) > CACHE:
+            if self.many + len(fresh) > min(CACHE, len(self.keys) // 2):
                 fresh, where = np.unique(keys, return_index=True)
                 missing = np.arange(len(keys))
                 self._clear(len(fresh))

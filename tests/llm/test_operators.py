@@ -428,6 +428,17 @@ def test_cached_pieces_encode_alike(texts, byte):
     assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [encoded(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("size", [1, 40, 3000])
+def test_cache_starts_anew_when_it_is_full(monkeypatch, corpus, size):
+    monkeypatch.setattr(tokens, "CACHE", size)
+    monkeypatch.setattr(tokens, "SLOTS", 6)
+    coder = tokens.Encoder(BYTE, False)
+    few = [t for _, t, *_ in corpus if t and len(t) < 3000][:60]
+    for k in range(0, len(few), 7):
+        ids, offs = coder.encode(*base.text_buffer(pa.array(few[k : k + 7])))
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [encoded(BYTE, t) for t in few[k : k + 7]]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700))
 def test_pfor_round_trip(ids):
