@@ -205,6 +205,14 @@ def test_golden_table_code():
     assert sorted(s for s, _ in back) == sorted(s for s, f in enumerate(freqs) for _ in range(f))
 
 
+def test_golden_decoding_table():
+    # fixed values: the symbol of each of the 32 states, and the number that it decodes to
+    symbols = [6, 0, 5, 0, 2, 6, 1, 5, 0, 2, 6, 1, 5, 0, 5, 6, 1, 5, 0, 5, 6, 1, 5, 0, 5, 7, 1, 6, 0, 5, 7, 1]
+    numbers = [7, 13, 13, 7, 2, 8, 6, 14, 8, 3, 9, 7, 15, 9, 9, 10, 8, 16, 10, 10, 11, 9, 17, 11, 11, 2, 10, 6, 12, 12, 3, 11]
+    _, back = entropy.table_states([7, 6, 2, 0, 0, 9, 6, 2])
+    assert back == list(zip(symbols, numbers))
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sampled_from([0, 1, 2, 5, 6, 7]), max_size=200))
 def test_coders(symbols):
