@@ -84,6 +84,8 @@ def decoding_table(freqs: DataFrame, keys: list[str], symbol: str, m: int) -> Da
 
 
 def bucket_codes(counts: DataFrame, keys: list[str], idx: str, count: str) -> DataFrame:
-    """Prefix-code lengths of 16 buckets: by falling count (ties by index) pairs get 3 to 8 bits, the last four 9."""
+    """Prefix-code lengths of 16 buckets: by falling count (ties by index) pairs get 3 to 8 bits, the last four 9; and
+    the place of each code, which inside a pair follows the index."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(count).desc(), F.col(idx))) - 1
-    return counts.withColumn("rank", rank.cast("int")).withColumn("bits", F.when(F.col("rank") < 12, 3 + F.floor(F.col("rank") / 2)).otherwise(9).cast("int"))
+    sized = counts.withColumn("rank", rank.cast("int")).withColumn("bits", F.when(F.col("rank") < 12, 3 + F.floor(F.col("rank") / 2)).otherwise(9).cast("int"))
+    return sized.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy("bits", idx)) - 1).cast("int"))

@@ -210,7 +210,7 @@ def q_a2_code_buckets(spark, sf_dir):
     return _bucket_counts(spark, sf_dir)
 
 
-@query(f"SELECT l_returnflag, idx, n, rank, CASE WHEN rank < 12 THEN 3 + rank // 2 ELSE 9 END AS bits FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, idx) - 1 AS rank FROM ({_BUCKETS}))")
+@query(f"SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY bits, idx) - 1 AS place FROM (SELECT l_returnflag, idx, n, rank, CASE WHEN rank < 12 THEN 3 + rank // 2 ELSE 9 END AS bits FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, idx) - 1 AS rank FROM ({_BUCKETS})))")
 def q_t16_w8_o4_bucket_codes(spark, sf_dir):
     return codes.bucket_codes(_bucket_counts(spark, sf_dir), ["l_returnflag"], "idx", "n")
 
