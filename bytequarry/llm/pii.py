@@ -91,7 +91,7 @@ def find(text: str, auto) -> dict[str, list[tuple[int, int]]]:
                 continue
             if at >= done["ip"] and (m := _IP.match(text, at)):
                 done["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(v) <= 3 and int(v or 0) <= 255 for v in (p.lstrip("0") for p in m[0].split("."))):
                     spans["ip"].append(m.span())
             if at >= done["card"] and (m := _CARD.match(text, at)):
                 done["card"] = m.end()

@@ -642,6 +642,13 @@ def test_pii_base(text):
     assert {k: got[k] for k in pii.BASE_KINDS} == base_spans(text)
 
 
+def test_pii_numbers_of_many_digits():
+    texts = ["0" * 5000 + ".1.2.3", "1.2.3." + "9" * 5000, "0" * 5000 + "1.2.3.255 " + "7" * 20000]
+    found = [pii.find(t, pii.anchors()) for t in texts]
+    assert [f["ip"] for f in found] == [[(0, 5006)], [], [(0, 5009)]]
+    assert not any(f["card"] or f["phone"] for f in found)
+
+
 def test_pii_documents(spark, sf_dir, corpus):
     got = by_id(queries.op7_pii(spark, sf_dir))
     for d, t, *_ in corpus:
