@@ -47,9 +47,8 @@ def aligned_size(length: int, offset: int) -> int:
     return 2 if length <= MIDDLE_LENGTH else 3
 
 
-def aligned_parse(data: bytes) -> list[tuple[int, int]]:
+def _least_cost(data: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(length, offset) of the tokens in order; a literal is (1, 0)."""
-    found = longest_ahead(data, ALIGNED_WINDOW, ALIGNED_LONGEST)
     rest = [0.0] * (len(data) + 1)
     chosen = [1] * len(data)
     for n in range(len(data) - 1, -1, -1):
@@ -68,7 +67,36 @@ def aligned_parse(data: bytes) -> list[tuple[int, int]]:
     return tokens
 
 
-def aligned_encode(data: bytes) -> bytes:
+#: How the aligned format's tokens are chosen.
+MODES = ("least", "deferred", "greedy")
+
+
+def aligned_tokens(data: bytes, mode: str = "least") -> list[tuple[int, int]]:
+    """(length, offset) of the tokens by least cost, by the longest match at each place (greedy), or by the longest one
+    that no later match beats by more than its distance and one (deferred)."""
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    found = longest_ahead(data, ALIGNED_WINDOW, ALIGNED_LONGEST)
+    return _least_cost(data, found) if mode == "least" else _walk(found, 1 if mode == "greedy" else len(data), 1)
+
+
+def _walk(found: list[tuple[int, int]], reach: int, over: int, fits=lambda length, offset: True) -> list[tuple[int, int]]:
+    """Tokens from the first place on: a match gives way if one of the next places, nearer than `reach`, has one that is
+    longer by more than the distance and `over`; it is then cut to that distance, or becomes a literal."""
+    tokens, n = [], 0
+    while n < len(found):
+        length, offset = found[n]
+        give = 0
+        for j in range(1, min(length, reach, len(found) - n)):
+            if found[n + j][0] > found[n + give][0] + j + over:
+                give = j
+        take = give or length
+        tokens.append((take, offset) if take > 1 and fits(take, offset) else (1, 0))
+        n += tokens[-1][0]
+    return tokens
+
+
+def aligned_encode(data: bytes, mode: str = "least") -> bytes:
     """Tokens from the last to the first: runs of literals, short, middle and long matches; then a zero."""
     out, at, run = bytearray(), len(data), bytearray()
 
@@ -78,7 +106,7 @@ def aligned_encode(data: bytes) -> bytes:
             out.extend(run)
             run.clear()
 
-    for length, offset in reversed(aligned_parse(data)):
+    for length, offset in reversed(aligned_tokens(data, mode)):
         at -= length
         if length == 1:
             run.append(data[at])
@@ -126,24 +154,10 @@ REACH = 32
 
 def deferred_parse(data: bytes, reach: int = REACH) -> list[tuple[int, int]]:
     """(length, offset) of the tokens: a match gives way if one of the next places has a longer one, by more than the
-    distance; it is then cut to that distance, or becomes a literal."""
+    distance. A reach of 1 takes the longest match at each place, and of 2 looks one place ahead."""
+    fits = lambda length, offset: length > 2 or offset < BUCKET_OFFSETS[3][0]
     found = longest_ahead(data, BUCKET_WINDOW, BUCKET_LONGEST)
-    found = [(0, 0) if k == 2 and o >= BUCKET_OFFSETS[3][0] else (k, o) for k, o in found]
-    tokens, n = [], 0
-    while n < len(data):
-        length, offset = found[n]
-        take = length
-        if length >= 2:
-            give = 0
-            for j in range(1, min(length, reach)):
-                if n + j < len(data) and found[n + j][0] > found[n + give][0] + j:
-                    give = j
-            take = give or length
-            if take > 1 and take == 2 and offset >= BUCKET_OFFSETS[3][0]:
-                take = 1
-        tokens.append((take, offset) if take > 1 else (1, 0))
-        n += max(1, take)
-    return tokens
+    return _walk([f if fits(*f) else (0, 0) for f in found], reach, 0, fits)
 
 
 def _bucket(v: int, classes) -> int:

@@ -24,6 +24,8 @@ from .parse import BitReader, BitWriter, _length_bits, _length_code, _offset_bit
 #: Table size, and the parameter of the code of the frequencies (fixed values).
 TABLE, RICE = 32, 2
 STREAMS = ("run", "length", "offset")
+#: Bits that a symbol of each stream is taken to cost before the tables are known (fixed values).
+PREDICTED = {"run": 1, "length": 0, "offset": 0}
 
 
 @dataclass(frozen=True)

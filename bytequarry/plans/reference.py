@@ -7,11 +7,13 @@ can follow them; the same transforms run on `documents` as kernels."""
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import ALGORITHMS, TARGETS
+from ..config import ALGORITHMS, TARGETS, options
 from ..functions import bits, blobs
 from ..operators import codes, entropy, forward, parse, runs
 from ..session import scratch, table
@@ -73,6 +75,31 @@ def q_j10_supported_semijoin(spark, sf_dir):
     return _algorithms(spark).join(supported, "id", "left_semi").select("id", "name")
 
 
+def _chosen(target: str, algorithm: str | None) -> tuple:
+    try:
+        o = options(target, algorithm, max_chain=20000, good_match=1)
+    except ValueError:
+        return target, algorithm, None, None, None
+    return target, algorithm, o.algorithm.name, o.max_chain, o.good_match
+
+
+@query(f"""WITH asked AS (SELECT name AS algorithm FROM {_ALGORITHM_SQL} UNION ALL SELECT NULL),
+a AS (SELECT id, name FROM {_ALGORITHM_SQL})
+SELECT target, algorithm, a.name AS chosen, CASE WHEN a.name IS NOT NULL THEN 9999 END AS max_chain, CASE WHEN a.name IS NOT NULL THEN 2 END AS good_match
+FROM {_TARGET_SQL} CROSS JOIN asked LEFT JOIN a ON list_contains(algorithms, a.id) AND CASE WHEN algorithm IS NULL THEN a.id = default_id ELSE a.name = algorithm END""")
+def q_s10_k8_k9_options(spark, sf_dir):
+    """What each target makes of options that name an algorithm or none, with numbers out of range; null where it
+    refuses. No table is read: there are 30 combinations."""
+    asked = [_chosen(t.name, a) for t in TARGETS for a in (None, *(a.name for a in ALGORITHMS))]
+    return spark.createDataFrame(asked, "target string, algorithm string, chosen string, max_chain int, good_match int")
+
+
+@query("SELECT * FROM (VALUES ('run', 1), ('length', 0), ('offset', 0)) p(stream, bits)")
+def q_t34_predicted_costs(spark, sf_dir):
+    """Bits that the symbols of the table-coded streams are taken to cost (fixed values)."""
+    return spark.createDataFrame(list(runs.PREDICTED.items()), "stream string, bits int")
+
+
 @query(f"SELECT target, count(*) AS n_accepted, sum(octet_length(encode(text)))::BIGINT AS n_bytes FROM documents, {_TARGET_SQL} WHERE octet_length(encode(text)) <= max_bytes GROUP BY target")
 def q_s1_size_gate(spark, sf_dir):
     sized = docs(spark, sf_dir).select(F.octet_length(blobs.utf8(F.col("text"))).cast("bigint").alias("n")).filter("n is not null")
@@ -249,6 +276,14 @@ def q_o1_o3_stable_radix_order(spark, sf_dir):
     return o.withColumn("inner", inner).join(before, "bucket").select("o_orderkey", "o_custkey", (F.col("before") + F.col("inner")).alias("place"))
 
 
+@query("SELECT l_partkey AS key, count(*) AS n, (sum(count(*)) OVER (ORDER BY l_partkey) - count(*))::BIGINT AS place FROM lineitem GROUP BY l_partkey")
+def q_o2_unstable_order(spark, sf_dir):
+    """The places of a sort by the bits from the highest on, which leaves equal keys in any order: each key's first
+    place and its number of rows."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(codes.before(n, [], "key", "n"), "key").select("key", "n", F.col("before").alias("place"))
+
+
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r <= 2")
 def q_o6_top_matches(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_partkey", "l_suppkey", "l_linenumber")
@@ -711,13 +746,45 @@ def q_t27_t28_stripped_executables(spark, sf_dir):
     return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _stripped, "n_bytes bigint, image_bytes bigint, stripped_bytes bigint, same boolean")
 
 
+#: A stand-in of 32 bytes for the machine code, which is not part of this package.
+LOADER = containers.Loader(bytes(32), 12, 2, 24)
+
+
+def _starting(data: bytes) -> tuple:
+    image = containers.self_starting(LOADER, data, _executable(data))
+    read = containers.parse(image)
+    at = [0x10000 + sum(s.size for s in read[:k]) for k in range(len(read))]
+    call = containers.load(read, at)[0][:8]
+    return len(data), len(image), sum(s.size for s in read), call == struct.pack(">HIH", containers.CALL, at[-1], containers.AFTER), LOADER.stream(image) == data
+
+
+_SIZED = "(SELECT doc_id AS blob_id, n AS n_bytes, (n + 35) // 4 * 4 AS last, (n // 2 + 3) // 4 * 4 + 8 AS half FROM (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n FROM documents))"
+
+
+@query(f"SELECT blob_id, n_bytes, 112 + last AS image_bytes, 2 * half + 64 + last AS memory_bytes, TRUE AS called, TRUE AS trip FROM {_SIZED}")
+def q_k5_k7_self_starting_images(spark, sf_dir):
+    """Executables of two segments that hold each text and one of zeros, with a loader and the text as its stream."""
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _starting, "n_bytes bigint, image_bytes bigint, memory_bytes bigint, called boolean, trip boolean")
+
+
+def _addressed(data: bytes) -> tuple:
+    image = containers.at_address(LOADER, data, 0x40000, 0x40010)
+    content = containers.parse(image)[0].data
+    return len(data), len(image), *(struct.unpack_from(">I", content, p)[0] for p in (LOADER.load_at, LOADER.jump_at)), LOADER.stream(image) == data
+
+
+@query(f"SELECT blob_id, n_bytes, 36 + last AS image_bytes, 262144::BIGINT AS load, 262160::BIGINT AS jump, TRUE AS trip FROM {_SIZED}")
+def q_k6_k7_images_at_addresses(spark, sf_dir):
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _addressed, "n_bytes bigint, image_bytes bigint, load bigint, jump bigint, trip boolean")
+
+
 @query()
 def q_s8_t26_t32_executables(spark, sf_dir):
     return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _merged, "n_bytes bigint, n_read bigint, n_merged bigint, reloc_bytes bigint, same boolean")
 
 
 def _aligned(data: bytes) -> tuple:
-    tokens, stream = forward.aligned_parse(data), forward.aligned_encode(data)
+    tokens, stream = forward.aligned_tokens(data), forward.aligned_encode(data)
     return len(data), len(stream), sum(k == 1 for k, _ in tokens), sum(k > 1 for k, _ in tokens), forward.aligned_decode(stream) == data
 
 
@@ -726,6 +793,28 @@ def q_t13_t14_t31_aligned_format(spark, sf_dir):
     return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _aligned, "n_bytes bigint, encoded_bytes bigint, n_literals bigint, n_matches bigint, trip boolean")
 
 
+def _by_mode(data: bytes) -> tuple:
+    streams = [forward.aligned_encode(data, m) for m in forward.MODES]
+    return len(data), *map(len, streams), all(forward.aligned_decode(s) == data for s in streams)
+
+
+@query()
+def q_t14_w7_aligned_modes(spark, sf_dir):
+    """Bytes of the aligned format by least cost, by matches that give way to later ones, and by the longest matches."""
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _by_mode, "n_bytes bigint, least_bytes bigint, deferred_bytes bigint, greedy_bytes bigint, trip boolean")
+
+
+def _by_reach(data: bytes) -> tuple:
+    streams = [forward.bucket_encode(data, r) for r in (1, 2, forward.REACH)]
+    return len(data), *map(len, streams), all(forward.bucket_decode(s) == data for s in streams)
+
+
+@query()
+def q_t15_w7_bucketed_modes(spark, sf_dir):
+    """Bytes of the bucketed format by the longest matches, by a look one place ahead, and by the full reach."""
+    return entropy.per_blob(docs(spark, sf_dir), "doc_id", "text", _by_reach, "n_bytes bigint, greedy_bytes bigint, lazy_bytes bigint, deferred_bytes bigint, trip boolean")
+
+
 def _bucketed(data: bytes) -> tuple:
     tokens, stream = forward.deferred_parse(data), forward.bucket_encode(data)
     return len(data), len(stream), sum(k == 1 for k, _ in tokens), sum(k > 1 for k, _ in tokens), forward.bucket_decode(stream) == data

@@ -235,3 +235,50 @@ def prepared(image: bytes, how: str) -> bytes:
     if how not in PREPARATIONS:
         raise ValueError(f"no such preparation: {how}")
     return PREPARATIONS[how](image)
+
+
+# --- images that start themselves --------------------------------------------------------------------------------
+#: A call of an absolute address, and the instruction after it.
+CALL, AFTER = 0x4EB9, 0x4E70
+
+
+@dataclass(frozen=True)
+class Loader:
+    """Machine code that decodes the stream behind it, which the caller has, and the places in it of the words that
+    each image sets: the stream's length, and the addresses to load to and to start at."""
+
+    code: bytes
+    length_at: int
+    load_at: int | None = None
+    jump_at: int | None = None
+
+    def before(self, stream: bytes, load: int = 0, jump: int = 0) -> Segment:
+        """The segment of the code, with its words set, and the stream."""
+        content = bytearray(self.code)
+        for place, value in ((self.length_at, len(stream)), (self.load_at, load), (self.jump_at, jump)):
+            if place is not None:
+                struct.pack_into(">I", content, place, value)
+        content += stream + bytes(-(len(content) + len(stream)) % 4)
+        return Segment(CODE, 0, bytes(content), len(content))
+
+    def stream(self, image: bytes) -> bytes:
+        """The stream that an image carries."""
+        last = parse(image)[-1].data
+        (n,) = struct.unpack_from(">I", last, self.length_at)
+        return last[len(self.code) : len(self.code) + n]
+
+
+def at_address(loader: Loader, stream: bytes, load: int, jump: int) -> bytes:
+    """An image of one segment, whose content goes to a fixed address."""
+    if loader.load_at is None or loader.jump_at is None:
+        raise ValueError("the loader takes no addresses")
+    return build([loader.before(stream, load, jump)])
+
+
+def self_starting(loader: Loader, stream: bytes, segments: list[Segment]) -> bytes:
+    """An image with the memory of `segments`: the first calls the loader, by a relocated address, the others are empty
+    but of full size, and the loader comes last, with the stream."""
+    if not segments or segments[0].kind != CODE:
+        raise ValueError("an executable begins with code")
+    first = Segment(CODE, segments[0].memory, struct.pack(">HIH", CALL, 0, AFTER), max(8, segments[0].size), {len(segments): {2}})
+    return build([first, *(Segment(s.kind, s.memory, b"", s.size) for s in segments[1:]), loader.before(stream)])

@@ -263,6 +263,27 @@ def test_executable_rejects():
         containers.parse(containers.build([containers.Segment(containers.CODE, 0, b"abcd", 4)])[:-4] + b"\0\0\x03\xf5")
 
 
+def test_images_with_a_loader():
+    S = containers.Segment
+    loader = containers.Loader(b"code and 4 words" * 2, 4, 8, 12)
+    layout = [S(containers.CODE, 1, b"", 100), S(containers.DATA, 0, b"", 8), S(containers.ZEROS, 2, b"", 64)]
+    for stream in (b"", b"x", b"abcd", bytes(range(256))):
+        image = containers.self_starting(loader, stream, layout)
+        read = containers.parse(image)
+        assert [(s.kind, s.memory, s.size) for s in read[:3]] == [(s.kind, s.memory, s.size) for s in layout]
+        assert read[0].relocs == {3: {2}} and read[0].data.hex() == "4eb9000000004e70" and len(image) % 4 == 0
+        assert loader.stream(image) == stream
+        fixed = containers.at_address(loader, stream, 0x1234, 0x5678)
+        assert fixed[:20].hex() == "000003f3" + "00000000" + "00000001" + "00000000" * 2 and fixed[-4:].hex() == "000003f2"
+        assert fixed[20:24] == fixed[28:32] == ((len(fixed) - 36) // 4).to_bytes(4, "big")
+        assert fixed[32:48] == b"code" + len(stream).to_bytes(4, "big") + bytes.fromhex("0000123400005678")
+        assert loader.stream(fixed) == stream
+    with pytest.raises(ValueError):
+        containers.self_starting(loader, b"", layout[1:])
+    with pytest.raises(ValueError):
+        containers.at_address(containers.Loader(bytes(8), 0), b"", 0, 0)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from([containers.CODE, containers.DATA, containers.ZEROS]), st.integers(0, 2), st.integers(0, 40)), min_size=1, max_size=5), st.randoms())
 def test_stripped_executable(shapes, r):
@@ -319,6 +340,25 @@ def test_forward_formats(data, reach):
     assert forward.bucket_decode(forward.bucket_encode(data, reach)) == data
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.binary(max_size=400).map(lambda b: bytes(x & 3 for x in b)))
+def test_modes_of_the_aligned_format(data):
+    for mode in forward.MODES:
+        assert sum(k for k, _ in forward.aligned_tokens(data, mode)) == len(data)
+        assert forward.aligned_decode(forward.aligned_encode(data, mode)) == data
+    with pytest.raises(ValueError):
+        forward.aligned_encode(data, "best")
+
+
+def test_matches_give_way():
+    # at 0 "ab" again at 2; at 1 "bc" and more: longer by more than the distance and one
+    data = b"abcdefgh--ab--bcdefgh"
+    assert forward.aligned_tokens(data, "greedy")[0] == (2, 10)
+    assert forward.aligned_tokens(data, "deferred")[:2] == [(1, 0), (7, 13)]
+    assert forward.deferred_parse(data, 1)[0] == (2, 10)
+    assert forward.deferred_parse(data, 2)[:2] == [(1, 0), (7, 13)]
+
+
 def test_bucket_prefixes_are_free():
     codes = forward.bucket_prefixes(list(range(16)))
     assert sorted(map(len, codes)) == sorted([3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 8, 9, 9, 9, 9])
