@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import column, join_heavy, map_text, materialize, record, text_buffer, tune, with_row_id
+from .base import column, join_heavy, map_text, materialize, record, released, text_buffer, tune, with_row_id
 from .graph import components
 from .quality import duplicates
 from .words import _ODD, ALNUM, ALNUM_MAP, Words, mix, window_valid, windows
@@ -185,7 +185,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good = [aligned(sa[oa[i] : oa[i + 1]], sb[ob[i] : ob[i + 1]]) >= SIMILARITY for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def _shingled(texts: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import parts, record, text_buffer, tune
+from .base import parts, record, released, text_buffer, tune
 from .tokens import encoder
 
 WINDOW, GROUP, PIECE, MARGIN = 2048, 64, 512, 0.002
@@ -125,4 +125,4 @@ def pack(docs: DataFrame, tokenizer: str, drops_space: bool = False, lowers: boo
             yield out()
 
     chosen = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"))
-    return chosen.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
+    return chosen.mapInArrow(released(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)

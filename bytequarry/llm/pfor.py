@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import parts, record, scratch, text_buffer, tune
+from .base import parts, record, released, scratch, text_buffer, tune
 from .tokens import encoder
 
 BLOCK, PERCENTILE = 128, 90
@@ -147,7 +147,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, lowers:
             yield flush()
 
     ordered = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).repartitionByRange(F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first(), F.col("__text").asc_nulls_first())
-    ordered.mapInArrow(run, f"part int, seq int, before bigint, n_ids bigint, doc_ids array<{kind}>, sizes array<bigint>, image binary").write.parquet(path)
+    ordered.mapInArrow(released(run), f"part int, seq int, before bigint, n_ids bigint, doc_ids array<{kind}>, sizes array<bigint>, image binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +166,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 yield record(part=(np.full(len(crc), one.column("part")[0].as_py()), pa.int32()), doc_id=(one.column("doc_ids").flatten(), None), local=(offs[:-1] + one.column("before")[0].as_py(), pa.int64()), n_tokens=(np.diff(offs), pa.int64()), ids_crc32=(crc, pa.int64()))
 
-    docs = segments.mapInArrow(run, f"part int, doc_id {kind}, local bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = segments.mapInArrow(released(run), f"part int, doc_id {kind}, local bigint, n_tokens bigint, ids_crc32 bigint")
     # a row for each partition of the writer, not for each document
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     totals = totals.select(F.col("part").alias("__part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))

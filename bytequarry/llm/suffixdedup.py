@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_heavy, map_text, materialize, record, text_buffer, tune, with_row_id
+from .base import join_heavy, map_text, materialize, record, released, text_buffer, tune, with_row_id
 from .words import range_hash, window_hash
 
 LENGTH, K = 200, 48
@@ -268,7 +268,7 @@ def _dealt(contexts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     heavy = heavy.withColumn("first", F.lit(K - LENGTH)).withColumn("last", F.lit(0))
     columns = ["rid", "lo", "h", "at", "whole", "first", "last", "context"]
     while not heavy.isEmpty():
-        halves = heavy.select(*columns).mapInArrow(_halves, "rid bigint, lo int, h bigint, c bigint, at int, whole boolean, first int, last int, context binary")
+        halves = heavy.select(*columns).mapInArrow(released(_halves), "rid bigint, lo int, h bigint, c bigint, at int, whole boolean, first int, last int, context binary")
         known = materialize(_compared(materialize(halves, "halves")), "compared")
         found.append(known.filter("copied and not whole").select("rid", F.col("lo").alias("first"), (F.col("lo") + F.length("context")).alias("end")))
         known = known.filter("sort").withColumn("whole", F.col("whole") | F.col("copied"))
@@ -315,7 +315,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     # the same columns as in the result, so that the texts are shuffled once
     some = joined.filter("owned is not null").select("__rid", "__id", "__text", "owned")
     contexts, halved = _dealt(materialize(_contexts(some), "contexts"))
-    partial = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "rid bigint, first int, end int")
+    partial = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(released(_sorted), "rid bigint, first int, end int")
     if halved is not None:
         partial = partial.union(halved)
     partial = partial.groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("parts"))

@@ -22,10 +22,10 @@ import numpy as np
 from .words import ALNUM_MAP, SPACED, range_hash, same_bytes
 
 END_ID = 1
-#: Entries of the cache (some 150 MB, table and all); when it is full it starts anew.
-CACHE = 1_400_000
+#: Entries of the cache (some 75 MB, table and all); when it is full it starts anew.
+CACHE = 700_000
 #: Slots of the table, as a power of two.
-SLOTS = 22
+SLOTS = 21
 
 
 def wide_space(buf: np.ndarray) -> np.ndarray:
