@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
 
+#: Lines of a text file at most, so that a file read whole as a byte array stays small, whatever the table's size.
+LINES_A_FILE = 1 << 19
+
+
 def write_lines(lines: DataFrame, column: str, path: str) -> None:
-    lines.select(F.col(column).cast("string").alias("value")).write.text(path)
+    """Text files of LINES_A_FILE lines at most in the folder `path`; a task with more lines writes several."""
+    lines.select(F.col(column).cast("string").alias("value")).write.option("maxRecordsPerFile", LINES_A_FILE).text(path)
+
+
+def read_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file that was written to the folder: path, length and content."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length", "content")
+
+
+def line_ends(content: Column) -> Column:
+    """How many bytes are line feeds; each byte is read as one character."""
+    text = F.decode(content, "ISO-8859-1")
+    return F.octet_length(content) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from compare import same
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bytequarry import streaming
 from bytequarry.config import BY_NAME
@@ -179,6 +180,17 @@ def test_raw_files(spark, tmp_path):
     assert {(r.blob_id, r.size, bytes(r.data)) for r in files.read_blobs(spark, f"{tmp_path}/raw").collect()} == {(1, 2, b"\x00\xff")}
 
 
+def test_files_of_few_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LINES_A_FILE", 3)
+    lines = [f"{k} çà\r{k}" for k in range(10)] + [""]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
+    files.write_lines(df, "line", f"{tmp_path}/log")
+    read = files.read_bytes(spark, f"{tmp_path}/log").withColumn("ends", files.line_ends(F.col("content"))).collect()
+    assert sorted(r.ends for r in read) == [2, 3, 3, 3]
+    assert sum(r.length for r in read) == sum(len(x.encode()) + 1 for x in lines)
+    assert all(r.ends == bytes(r.content).count(b"\n") for r in read)
+
+
 def test_streams(spark, tmp_path):
     import datetime
 
