@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bytequarry import streaming
+from bytequarry import kernels, streaming
 from bytequarry.config import BY_NAME
 from bytequarry.operators import entropy, forward, parse, runs
 from bytequarry.plans import reference
@@ -382,3 +382,77 @@ def test_bucket_prefixes_are_free():
 def test_prefix_matches(data):
     want = [next((k for k in range(len(data) - i) if data[k] != data[i + k]), len(data) - i) for i in range(1, len(data))]
     assert parse.prefix_matches(data) == want
+
+
+# --- kernels in the JVM: the same numbers as the Python functions ---------------------------------------------------
+def parsed(data, algo):
+    tokens = parse.parse(data, algo)
+    stream, n_bits = parse.encode(data, algo, tokens=tokens)
+    kinds = [t.kind for t in tokens]
+    ahead = max((-(-t.cost // 8) - t.pos for t in tokens), default=0)
+    agrees = n_bits == max(0, (tokens[-1].cost if tokens else 0) - 1)
+    return (len(data), *(kinds.count(k) for k in ("literal", "repeat_literal", "match", "repeat_match")), sum(t.length for t in tokens if t.length > 1), n_bits, len(stream), max(0, ahead), agrees, parse.decode(stream, algo) == data)
+
+
+def with_runs(data, algo):
+    encode, decode = runs.CODECS[algo.name]
+    try:
+        steps = runs.steps_of(data, algo)
+    except runs.TooLongRun:
+        return len(data), 0, 0, 0, 0, 0, 2, 0
+    kinds, stream = [t.kind for t in steps], encode(data, algo, steps=steps)
+    return (len(data), *(kinds.count(k) for k in ("run", "match", "repeat")), sum(t.length for t in steps if t.kind == "run"), len(stream), len(stream) >= len(data), decode(stream, algo) == data)
+
+
+def symbols_of(data, algo):
+    try:
+        found = runs.symbols(runs.steps_of(data, algo), algo)
+    except runs.TooLongRun:
+        return ()
+    return tuple(found[stream].count(s) for stream in runs.STREAMS for s in range(kernels.SYMBOLS))
+
+
+def odd_blobs():
+    r = random.Random(5)
+    noise = bytes(r.randrange(256) for _ in range(3000))
+    words = [bytes(r.choices(b"etaoin", k=r.randrange(1, 9))) for _ in range(60)]
+    prose = b" ".join(r.choices(words, k=900))
+    small = [bytes(r.choices(b"abc", k=r.randrange(1, 400))) for _ in range(40)]
+    far = b"a far phrase" + bytes(r.choices(range(256), k=33000)) + b"a far phrase" + noise[:50] + b"a far phrase"
+    return BLOBS + [b"\0" * 700, noise, prose, prose[:2300] + noise[:70] + prose[:2300], bytes(range(256)) * 3, far, *small]
+
+
+KERNELS = {
+    "parse": (parsed, ("wide", "narrow", "tabled")),
+    "runs": (with_runs, ("wide_runs", "tabled_runs", "tabled")),
+    "symbols": (symbols_of, ("tabled_runs", "tabled", "wide_runs")),
+    "aligned": (lambda data, _: reference._aligned(data), (None,)),
+    "aligned modes": (lambda data, _: reference._by_mode(data), (None,)),
+    "bucketed": (lambda data, _: reference._bucketed(data), (None,)),
+    "bucketed modes": (lambda data, _: reference._by_reach(data), (None,)),
+    "range coders": (lambda data, _: reference._coded(data), (None,)),
+}
+
+
+@pytest.mark.parametrize("what,algorithm", [(what, a) for what, (_, names) in KERNELS.items() for a in names])
+def test_kernels(spark, what, algorithm):
+    blobs, algo = odd_blobs(), BY_NAME.get(algorithm)
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(blobs)], "k int, data binary").repartition(4)
+    got = {r.k: r.r for r in df.select("k", kernels.kernel(spark, what, algo)(F.col("data")).alias("r")).collect()}
+    for k, data in enumerate(blobs):
+        assert got[k] == [int(v) for v in KERNELS[what][0](data, algo)], (k, data[:40])
+
+
+IN_THE_JVM = "q_t1_t7_t29_parse_narrow"
+
+
+@pytest.mark.parametrize("name", IN_THE_JVM.split())
+def test_no_row_goes_through_python(spark, sf_dir, name):
+    plan = reference.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_null_is_empty(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (None, "abab")], "k int, t string")
+    rows = {r.blob_id: r for r in parse.summaries(df, "k", "t", "wide").collect()}
+    assert rows[1].asDict() | {"blob_id": 2} == rows[2].asDict() and rows[1].n_bytes == 0 and rows[None].n_bytes == 4
