@@ -480,6 +480,17 @@ def test_no_row_goes_through_python(spark, sf_dir, name):
     assert "Python" not in plan and "InArrow" not in plan
 
 
+def test_symbols_meet_by_numbers(spark, sf_dir):
+    """Totals are those of the rows, equal ids count once and null ids not; no name of a stream is shuffled."""
+    df = spark.createDataFrame([(1, "abcabcabc" * 9), (1, "an other text, an other text"), (None, "abab" * 20), (2, None)], "k int, t string")
+    rows = runs.symbol_rows(df, "k", "t", "tabled_runs").groupBy("stream", "symbol").agg(F.sum("n"), F.countDistinct("blob_id"))
+    totals = runs.symbol_totals(df, "k", "t", "tabled_runs")
+    assert totals.columns == ["stream", "symbol", "n", "n_blobs"] and sorted(map(tuple, totals.collect())) == sorted(map(tuple, rows.collect()))
+    plan = reference.QUERIES["q_a3_t36_symbol_frequencies"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert exchanges and not any("stream" in line for line in exchanges)
+
+
 def test_null_is_empty(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "abab")], "k int, t string")
     rows = {r.blob_id: r for r in parse.summaries(df, "k", "t", "wide").collect()}
